@@ -129,6 +129,16 @@ def spans_of(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return F.coalesce(found, F.array().cast(none_type()))
 
 
+def sql_spans(pattern: str) -> str:
+    """DuckDB: a list of {s, e, h, b} of a pattern's matches in t; the pattern has no groups of its own."""
+    both = f"'(?s)(.*?)({pattern})'"
+    return (
+        f"(SELECT list_transform(range(1, len(h) + 1), lambda i: {{'s': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0), "
+        f"'e': list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x))), 'h': h[i], 'b': right(g[i], 40)}}) "
+        f"FROM (SELECT regexp_extract_all(t, {both}, 1) AS g, regexp_extract_all(t, {both}, 2) AS h))"
+    )
+
+
 def none_type() -> str:
     return "array<struct<start:bigint,end:bigint,hit:string,before:string>>"
 

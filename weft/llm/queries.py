@@ -6,8 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import simhash
-from weft.llm.common import table
+from weft.llm import fingerprint, mixing, pii, secrets, simhash, tokens, url_filter
+from weft.llm.common import fresh_path, table
+
+DEFAULT_TOKENIZER = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """A cold run: the cache is new, so every distinct text is encoded."""
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path(DEFAULT_TOKENIZER)
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), str(model_path), fresh_path(spark, "token-cache"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +46,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_personal_data": op2_personal_data,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_personal_data": pii.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
+    "op9_secrets": secrets.ORACLE,
+}
