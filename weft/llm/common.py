@@ -152,3 +152,17 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, s
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+BROADCAST_ROWS = 200_000
+
+
+def bounded(frame: DataFrame) -> DataFrame:
+    """``frame``, narrow and already cut, sent to all tasks if it has at most BROADCAST_ROWS rows; else joined by shuffles."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` whose id isn't among ``ids`` (one column, distinct); null equals null."""
+    ids = ids.toDF("__without")
+    return rows.join(bounded(ids), F.col(id_col).eqNullSafe(F.col("__without")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import fingerprint, mixing, pii, secrets, simhash, tokens, url_filter
+from weft.llm import decontaminate, fingerprint, language, licenses, mixing, pii, secrets, simhash, tokens, url_filter
 from weft.llm.common import fresh_path, table
 
 DEFAULT_TOKENIZER = "piece_bpe_32k.model"
@@ -37,6 +37,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_decontamination": op6_decontamination,
+    "op7_language": op7_language,
+    "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }

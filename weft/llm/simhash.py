@@ -24,10 +24,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import cut, without_ids
 
 HOT = 512
 
@@ -183,14 +183,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     If rows share that id, the one whose whole row has the least hash stays.
     """
     found = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id")
-    drop = cut(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct())
-    kept = docs.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("__drop")), "left_anti")
+    drop = cut(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    kept = without_ids(docs, drop, id_col)
     rows = [F.col(c).cast("string") for c in docs.columns]
     copies = kept.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__many"))
     many = cut(copies)
     if many.isEmpty():
         return kept
-    from pyspark.sql import Window
-
     order = Window.partitionBy(id_col).orderBy(F.sha2(F.concat_ws("\x1f", *[F.coalesce(r, F.lit("\x00")) for r in rows]), 256))
     return kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
