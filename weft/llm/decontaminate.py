@@ -5,9 +5,10 @@
 2. TF-IDF: document frequencies of the vocabulary are counted over all documents, whole texts.
 3. Randomised SVD of the TF-IDF passages, distributed by blocks: each block's matrix is multiplied by a
    random one, the range is refined by power iterations, and the small matrix that is left is decomposed;
-   its right vectors span the block's latent space. A block of its own keeps the space fine enough for
-   rare words, which a decomposition of the whole corpus with so few dimensions would lose: there, all
-   texts of a language lie close together.
+   its right vectors span the block's latent space. Passages have length 1, so short items count as much
+   as long ones, and the space has as many dimensions as a block has items, so none is left out. A
+   decomposition of the whole corpus with so few dimensions would lose the rare words: there, all texts
+   of a language lie close together.
 4. Search: a document is seen as windows of ``WINDOW`` words with half of them shared. A window is folded
    into each block's space, and items whose cosine reaches ``COSINE`` are candidates. Only windows whose
    share of energy in the vocabulary makes that cosine possible are folded in (Cauchy-Schwarz).
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import cut, without_ids
 
-BLOCK, GROUP = 128, 2048
+BLOCK, GROUP = 96, 2048
 RANK, OVER, POWER = 96, 16, 2
 WINDOW = 24
 COSINE = 0.4
@@ -205,7 +206,8 @@ def _spaces(spark, items: list[tuple[int, str]], vocabulary: dict[bytes, int], i
                 for text in texts:
                     terms, counts = np.unique([vocabulary[w] for w in words_of(text)], return_counts=True)
                     terms = terms.astype(np.int64)
-                    rows.append((terms, np.sqrt(counts) * idf[terms] if len(terms) else np.zeros(0)))
+                    weights = np.sqrt(counts) * idf[terms] if len(terms) else np.zeros(0)
+                    rows.append((terms, weights / max(1e-9, np.linalg.norm(weights))))
                 own = np.unique(np.concatenate([t for t, _ in rows])) if rows else np.zeros(0, np.int64)
                 places = {int(t): k for k, t in enumerate(own)}
                 right, dense = latent_space([([places[int(t)] for t in terms], weights) for terms, weights in rows], len(own), first)
