@@ -26,7 +26,7 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, let, spans_of, sql_spans
+from weft.llm.common import bounded, cut, let, spans_of, sql_spans
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, secrets), one row per row of ``docs``."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maybe = cut(candidates(postings(own, rules), rules)).withColumnRenamed("doc_id", "__id")
-    met = own.join(maybe, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    met = own.join(bounded(maybe), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return met.select("doc_id", secret_spans(F.col("text"), F.coalesce("rules", F.lit(0).cast("long")), rules).alias("secrets"))
 
 
@@ -172,7 +172,7 @@ def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the rows whose texts hold a secret; the rest unchanged."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maybe = cut(candidates(postings(own))).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    met = docs.join(maybe, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    met = docs.join(bounded(maybe), F.col(id_col).eqNullSafe(F.col("__id")), "left")
     found = secret_spans(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("__rules", F.lit(0).cast("long")))
     return met.filter(F.size(found) == 0).select(*docs.columns)
 
