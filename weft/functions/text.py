@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _tuple(items: Column) -> Column:
@@ -40,12 +41,14 @@ def parse_int_tuple(text: Column) -> Column:
 
 
 def escape(text: Column) -> Column:
-    for plain, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(plain), F.lit(shown))
-    return text
+    """Backslash first, then line feed, carriage return and tab, each as a backslash and a letter."""
+    shown = text
+    for plain, letter in (("\\", "\\"), ("\n", "n"), ("\r", "r"), ("\t", "t")):
+        shown = F.replace(shown, F.lit(plain), F.lit("\\" + letter))
+    return F.when(text.rlike("[\\\\\n\r\t]"), shown).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Shortest decimals that read back the same, never with an exponent, ``.0`` on whole numbers."""
     import math

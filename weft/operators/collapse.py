@@ -46,11 +46,15 @@ def representatives(rows: DataFrame, tie: str = "line") -> DataFrame:
 
 
 def readinfo(paf: DataFrame) -> DataFrame:
-    """The 37-column table of ``paf``, one row a read; cs as its escaped text."""
+    """The 37-column table of ``paf``, one row a read. Text stands as two tables escape it one after the other: cs twice, the rest once."""
     best = derive(representatives(paf))
-    return best.withColumn("cs", X.escape(c("cs"))).select(*schema.names(schema.READINFO))
+    return escaped(best.withColumn("cs", X.escape(c("cs"))))
+
+
+def escaped(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({n: X.escape(c(n)) for n in ("cs", "target_name")}).select(*schema.names(schema.READINFO))
 
 
 def readinfo_from_alninfo(alninfo: DataFrame, tie: str) -> DataFrame:
     """The same from the 36-column table; ``tie`` is the column that gives the order of its lines."""
-    return representatives(alninfo, tie).select(*schema.names(schema.READINFO))
+    return escaped(representatives(alninfo, tie))
