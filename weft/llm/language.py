@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import cut, skew_join, without_ids
@@ -84,6 +84,20 @@ def evidence(texts, table):
         yield len(grams), np.maximum((total - total.max()) * TEMPER, -MOST)
 
 
+def _least_hashes(labelled: DataFrame, key: Column, n: int) -> list:
+    """The ``n`` rows with the least hashes.
+
+    A task would send its own ``n`` least rows to the driver, whose sum grows with the number of tasks; so
+    rows over a bound that leaves somewhat more than ``n`` in all are dropped first.
+    """
+    keyed = labelled.select(F.shiftrightunsigned(key, 1).alias("__key"), "text", "declared")
+    n_rows = labelled.select("declared").count()
+    share = (1.2 * n + 300) / max(1, n_rows)
+    if share < 1:
+        keyed = keyed.filter(F.col("__key") < F.lit(int(share * 2**63)))
+    return keyed.orderBy("__key", "declared").limit(n).collect()
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", train_rows: int = TRAIN_ROWS, train: DataFrame | None = None) -> DataFrame:
     """(doc_id, lang, posterior, text_lang, rejected), one row per row of ``docs``.
 
@@ -101,9 +115,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     )
     kind = own.schema["doc_id"].dataType.simpleString()
     labelled = train.select("text", F.col("lang").alias("declared")) if train is not None else own
-    labelled = labelled.filter(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    key = F.xxhash64("doc_id") if train is None else F.xxhash64("text")
-    sample = labelled.select(key.alias("__key"), "text", "declared").orderBy("__key", "declared").limit(train_rows).collect()
+    labelled = labelled.filter(F.col("declared").isNotNull())
+    sample = _least_hashes(labelled, F.xxhash64("doc_id") if train is None else F.xxhash64("text"), train_rows)
     names, table = fit([(r["text"], r["declared"]) for r in sample])
     if not names:
         return own.select("doc_id", F.lit(UND).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(UND).alias("text_lang"), F.lit(False).alias("rejected"))
