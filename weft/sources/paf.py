@@ -31,7 +31,7 @@ def natural(text: Column, most: int = 2**63 - 1) -> Column:
 def tag_values(tags: Column, name: str) -> Column:
     """The last value of a tag such as ``ms:i``, or null."""
     own = F.filter(F.split(tags, "\t"), lambda t: F.startswith(t, F.lit(name + ":")) & (F.octet_length(t) >= 6))
-    return F.when(F.size(own) > 0, F.substring(F.element_at(own, -1), F.lit(len(name) + 2), F.lit(2**31 - 1)))
+    return F.when(F.size(own) > 0, F.substring(F.try_element_at(own, F.lit(-1)), F.lit(len(name) + 2), F.lit(2**31 - 1)))
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

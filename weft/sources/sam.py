@@ -25,13 +25,13 @@ class NoDifferenceString(ValueError):
 
 def _tag(tags: Column, name: str) -> Column:
     own = F.filter(F.split(tags, "\t"), lambda t: F.startswith(t, F.lit(name + ":")) & (F.octet_length(t) >= 6))
-    return F.when(F.size(own) > 0, F.substring(F.element_at(own, -1), F.lit(6), F.lit(2**31 - 1)))
+    return F.when(F.size(own) > 0, F.substring(F.try_element_at(own, F.lit(-1)), F.lit(6), F.lit(2**31 - 1)))
 
 
 def header(lines: DataFrame) -> DataFrame:
     """(contig, contig_len) of @SQ lines; of a name that repeats, the last in text order counts; lines without a number are left out."""
     own = lines.filter(F.startswith("value", F.lit("@SQ\t"))).select(F.split("value", "\t").alias("f"))
-    field = lambda name: F.element_at(F.filter("f", lambda t: F.startswith(t, F.lit(name + ":"))), 1)
+    field = lambda name: F.try_element_at(F.filter("f", lambda t: F.startswith(t, F.lit(name + ":"))), F.lit(1))
     pairs = own.filter(F.exists("f", lambda t: F.startswith(t, F.lit("SN:"))) & F.exists("f", lambda t: F.startswith(t, F.lit("LN:"))))
     named = pairs.select(F.substring(field("SN"), F.lit(4), F.lit(2**31 - 1)).alias("contig"), natural(F.substring(field("LN"), F.lit(4), F.lit(40))).alias("contig_len"))
     return named.filter("contig_len is not null").groupBy("contig").agg(F.max("contig_len").alias("contig_len"))
