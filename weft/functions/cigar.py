@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weft.functions.cs import let
+from weft.functions.memo import remembered
 
 OPERATION = "[0-9]+[^0-9]"
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -23,6 +24,7 @@ def operations(cigar: Column) -> Column:
     )
 
 
+@remembered
 def stats(cigar: Column) -> Column:
     """struct of an alignment's lengths.
 
@@ -54,6 +56,7 @@ def stats(cigar: Column) -> Column:
     return let(operations(cigar), made)
 
 
+@remembered
 def introns(cigar: Column) -> Column:
     """array<struct<start, end>>: skipped reference spans from the alignment's start; a malformed tail is left out."""
     sound = F.regexp_extract(cigar, "^(?:[0-9]+[^0-9])*", 0)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.memo import remembered
+
 OPERATION = "(?s):[0-9]*|[=+-][A-Za-z]*|\\*.{0,2}|~.{0,2}[0-9]*.{0,2}"
 BASES, PAIRED = "ACGTacgt", "TGCAtgca"
 COUNTED = {":": "match", "=": "match", "*": "substitution", "+": "insertion", "-": "deletion", "~": "intron"}
@@ -67,6 +69,7 @@ def sized(cs: Column) -> Column:
     return F.transform(operations(cs), lambda op: F.struct(F.left(op, F.lit(1)).alias("kind"), _width(op).alias("n"), op.alias("op")))
 
 
+@remembered
 def introns(cs: Column) -> Column:
     """array<struct<q, start, end, motif>>: query place and reference span of each intron, from the alignment's start."""
     zero = F.lit(0).cast("bigint")
@@ -82,6 +85,7 @@ def introns(cs: Column) -> Column:
     return F.when(has, F.aggregate(sized(cs), start, step, lambda acc: acc["found"])).otherwise(F.array().cast(INTRONS))
 
 
+@remembered
 def event_counts(cs: Column) -> Column:
     """struct with n_<event>_events and n_<event>_bases."""
 
@@ -99,6 +103,7 @@ def event_counts(cs: Column) -> Column:
     return let(sized(cs), counts)
 
 
+@remembered
 def revcomp(cs: Column) -> Column:
     """The string of the same alignment seen from the other strand."""
 
@@ -115,6 +120,7 @@ def revcomp(cs: Column) -> Column:
     return F.array_join(F.transform(F.reverse(operations(cs)), turned), "")
 
 
+@remembered
 def strip_motifs(cs: Column) -> Column:
     """The string with every intron motif blanked; aligners differ in whether they report motifs."""
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from weft import schema
 from weft.functions import cs as C
 from weft.functions import text as X
+from weft.functions.memo import remembered
 from weft.operators.compare import set_counts
 
 c = F.col
 MODES = ("any-diff-query", "any-diff-reference")
 
 
+@remembered
 def mapped(side: str) -> Column:
     name = F.coalesce(f"target_name_{side}", F.lit(""))
     return (name != "") & (name != "*")
@@ -56,6 +58,7 @@ def classify(table: DataFrame) -> DataFrame:
     return made.withColumn("query_identical", identical).drop("__cs_a", "__cs_b", "__same_strand")
 
 
+@remembered
 def class_flags() -> dict[str, Column]:
     """The seven 0/1 columns of classified rows."""
     both = c("map_status") == "both"
@@ -98,6 +101,7 @@ def summary(classified: DataFrame, only_a: int | Column = 0, only_b: int | Colum
     return stacked(counts, SUMMARY_ROWS)
 
 
+@remembered
 def decide(mode: str = "any-diff-query", both_only: bool = False) -> Column:
     """``excluded``, or the outcome of a classified row; outcomes ``diff_…`` differ, others are identical."""
     if mode not in MODES:

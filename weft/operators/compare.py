@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft import schema
 from weft.functions import text as X
+from weft.functions.memo import remembered
 from weft.operators.pair import paired
 
 c = F.col
@@ -31,6 +32,7 @@ def set_counts(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return size(F.array_intersect(a, b)), size(F.array_except(a, b)), size(F.array_except(b, a))
 
 
+@remembered
 def differences() -> dict[str, Column]:
     """The 19 columns, each B against A."""
     a, b = X.parse_int_tuple(c("query_junctions_A")), X.parse_int_tuple(c("query_junctions_B"))

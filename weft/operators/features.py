@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft import schema
 from weft.functions import cs as C
 from weft.functions import text as X
+from weft.functions.memo import remembered
 
 c = F.col
 
@@ -60,26 +61,30 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b, F.lit(0)).cast("double")
 
 
+@remembered
+def _derived() -> dict[str, Column]:
+    """Columns over those of a PAF line, __events and __introns."""
+    start, end, events = softclips(is_mapped_paf())
+    return {
+        "aln_identity": ratio(c("n_residue_matches"), c("aln_block_len")),
+        "query_aln_len": less(c("query_end"), c("query_start")),
+        "query_aln_cov": ratio(less(c("query_end"), c("query_start")), c("query_len")),
+        "genomic_intron_strand": intron_strand(c("strand"), c("query_transcript_strand")),
+        **{f"n_{e}_{w}": c(f"__events.n_{e}_{w}") for e in ("match", "substitution", "insertion", "deletion", "intron") for w in ("events", "bases")},
+        "n_softclip_events": events,
+        "n_softclip_bases_start": start,
+        "n_softclip_bases_end": end,
+        "query_junctions": X.int_tuple(F.array_sort(query_places(c("__introns"), c("strand"), c("query_len"), c("query_start"), c("query_end")))),
+        "genomic_junctions": X.span_tuple(genomic_places(c("__introns"), c("target_start"))),
+    }
+
+
 def derive(paf: DataFrame) -> DataFrame:
     """``paf`` (PAF columns, ms_score, as_score, tp_tag, ts_tag, xs_tag, cs) with all derived columns beside its own."""
     mapped = is_mapped_paf()
-    start, end, events = softclips(mapped)
     clean = paf.withColumns({"ts_tag": F.when(mapped, c("ts_tag")).otherwise("*"), "cs": F.when(mapped, F.coalesce("cs", F.lit(""))).otherwise("")})
     found = clean.withColumns({"__events": C.event_counts(c("cs")), "__introns": C.introns(c("cs")), "query_transcript_strand": F.when(mapped, transcript_strand(c("strand"), c("ts_tag"), c("xs_tag"))).otherwise("*")})
-    return found.withColumns(
-        {
-            "aln_identity": ratio(c("n_residue_matches"), c("aln_block_len")),
-            "query_aln_len": less(c("query_end"), c("query_start")),
-            "query_aln_cov": ratio(less(c("query_end"), c("query_start")), c("query_len")),
-            "genomic_intron_strand": intron_strand(c("strand"), c("query_transcript_strand")),
-            **{f"n_{e}_{w}": c(f"__events.n_{e}_{w}") for e in ("match", "substitution", "insertion", "deletion", "intron") for w in ("events", "bases")},
-            "n_softclip_events": events,
-            "n_softclip_bases_start": start,
-            "n_softclip_bases_end": end,
-            "query_junctions": X.int_tuple(F.array_sort(query_places(c("__introns"), c("strand"), c("query_len"), c("query_start"), c("query_end")))),
-            "genomic_junctions": X.span_tuple(genomic_places(c("__introns"), c("target_start"))),
-        }
-    ).drop("__events", "__introns")
+    return found.withColumns(_derived()).drop("__events", "__introns")
 
 
 def alninfo(paf: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weft import schema
 from weft.functions import cs as C
 from weft.functions import text as X
+from weft.functions.memo import remembered
 from weft.operators.classify import mapped, stacked
 from weft.operators.compare import set_counts
 from weft.operators.features import less
@@ -29,6 +30,7 @@ def _long(name: str) -> Column:
     return F.coalesce(c(name).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+@remembered
 def genomic(side: str) -> tuple[Column, Column]:
     """(array<struct<contig, start, end, strand, motif>>, intron strand) of a side; unmapped sides have none and ``*``."""
     strand = F.when(mapped(side), clean_strand(c(f"genomic_intron_strand_{side}"))).otherwise("*")
@@ -128,6 +130,7 @@ def gjc_summary(rows: DataFrame, junctions: DataFrame) -> DataFrame:
 # Query junctions
 
 
+@remembered
 def funnel() -> Column:
     """Why a read is looked at or not, by the stored counts."""
     a, b = mapped("A"), mapped("B")
@@ -144,6 +147,7 @@ def differing() -> Column:
     return F.startswith(c("bucket"), F.lit("n_query_junctions_different"))
 
 
+@remembered
 def side_junctions(side: str) -> Column:
     """array<struct<q, at, contig, start, end, strand, motif>> of a side in order along the read."""
     strand, length = F.coalesce(f"strand_{side}", F.lit(".")), _long("query_len")
