@@ -24,7 +24,10 @@ def test_the_pipeline_keeps_what_it_should(spark):
         line = b" " + b" ".join(decontaminate.words_of(text)) + b" "
         return any(b" " + b" ".join(w) + b" " in line for w in items)
 
-    kept = {i: r for i, r in kept.items() if not held(r["text"]) and not brute_spans(r["text"], SECRETS)}
+    def secret(text):
+        return any(k != "hex" or (re.search("[0-9]", text[a:b]) and re.search("[a-f]", text[a:b])) for k, a, b in brute_spans(text, SECRETS))
+
+    kept = {i: r for i, r in kept.items() if not held(r["text"]) and not secret(r["text"])}
     found = corpus_pipeline.run(spark, DATA).collect()
     words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in kept.items()}
     assert {r["doc_id"] for r in found} <= set(kept)

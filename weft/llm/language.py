@@ -11,8 +11,8 @@ Evidence on a document's language, added as log odds:
   the shuffle; a host with a third of all rows is one row a map task, and the join back salts it.
 
 The models are fitted on at most ``train_rows`` labelled rows, those with the least hashes of their
-ids; all else covers all rows. One more class, ``und``, takes any bytes equally; a text that it
-explains best, or one without letters, is of no known language and is rejected.
+ids; all else covers all rows. One more class, ``und``, takes any bytes equally, and is unlikely
+beforehand; a text that it explains best, or one without letters, is of no known language and is rejected.
 
 Null texts count as empty and are rejected. A null declared language or host is no evidence. Without
 any labelled row nothing can be told, and every row is ``und`` but none rejected. Rows that repeat
@@ -33,6 +33,7 @@ BUCKETS = 1 << 15
 TEMPER, MOST = 0.25, 60.0
 AGREES = 0.9
 PULL = 20.0
+UND_PRIOR = -6.0  # log odds of und before any text is seen; short texts with a name or a key in them stay
 SUFFIXES = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 UND = "und"
 
@@ -158,7 +159,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     labels = F.array(*map(F.lit, names))
     ranked = ranked.select(
         "doc_id",
-        ((F.col("n_grams") == 0) | (F.get("odds", F.lit(n)) > F.array_max(F.slice("odds", 1, n)))).alias("rejected"),
+        ((F.col("n_grams") == 0) | (F.get("odds", F.lit(n)) + UND_PRIOR > F.array_max(F.slice("odds", 1, n)))).alias("rejected"),
         F.element_at(labels, best.cast("int")).alias("likely"),
         F.element_at(labels, text_best.cast("int")).alias("text_lang"),
         (F.lit(1.0) / F.aggregate(F.transform("fused", lambda x: F.exp(x - F.array_max("fused"))), F.lit(0.0), lambda acc, x: acc + x)).alias("posterior"),

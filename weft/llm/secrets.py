@@ -168,13 +168,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return met.select("doc_id", secret_spans(F.col("text"), F.coalesce("rules", F.lit(0).cast("long")), rules).alias("secrets"))
 
 
+def decisive(span: Column) -> Column:
+    """Whether a span makes a document one with a secret: a hexadecimal run must have letters and digits, as card numbers and the like have not."""
+    return (span["kind"] != "hex") | (span["hit"].rlike("[0-9]") & span["hit"].rlike("[a-f]"))
+
+
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose texts hold a secret; the rest unchanged."""
+    """``docs`` without the rows whose texts hold a decisive secret; the rest unchanged."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maybe = cut(candidates(postings(own))).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
     met = docs.join(bounded(maybe), F.col(id_col).eqNullSafe(F.col("__id")), "left")
     found = secret_spans(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("__rules", F.lit(0).cast("long")))
-    return met.filter(F.size(found) == 0).select(*docs.columns)
+    return met.filter(F.size(F.filter(found, decisive)) == 0).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
