@@ -73,3 +73,24 @@ def reads_sql(source: str) -> str:
     )
     flag = "case when un then 4 else case when strand = '-' then 16 else 0 end + case when tp_tag = 'S' then 256 when tp_tag = '*' then 2048 else 0 end end"
     return f"select query_name, {flag} as flag, {cigar} as cigar, sb, ins, del, line from {source}"
+
+
+def md_sql(source: str) -> str:
+    """CIGAR, MD and SEQ of the mapped reads of set A, whose cs strings run forward."""
+    return f"""select line, cs, concat('5S', cast(e1 + sb as string), 'M', cast(i1 as string), 'N', cast(e2 as string), 'M', case when ins > 0 then concat(cast(ins as string), 'I') else '' end,
+    case when del > 0 then concat(cast(del as string), 'D') else '' end, case when e3 > 0 then concat(cast(i2 as string), 'N', cast(e3 as string), 'M') else '' end, cast(query_len - query_end as string), 'S') as cigar,
+  concat(case when sb > 0 then concat(cast(e1 as string), 'A') else '' end,
+    case when del > 0 then concat(cast(case when sb > 0 then e2 else e1 + e2 end as string), '^CCC', cast(e3 as string)) else cast(case when sb > 0 then e2 + e3 else e1 + e2 + e3 end as string) end) as md,
+  concat('NNNNN', repeat('A', e1), repeat('G', sb), repeat('C', e2), case when ins > 0 then 'AC' else '' end, repeat('T', e3), repeat('N', cast(query_len - query_end as int))) as seq
+from {source} where not un"""
+
+
+def sam_sql(source: str) -> str:
+    """Set A as SAM lines, with their header."""
+    contigs = " union all ".join(f"select concat('@SQ\\tSN:chr{i}\\tLN:', '5000000') as value" for i in range(1, 6))
+    record = (
+        "concat_ws('\\t', query_name, cast(flag as string), target_name, cast(target_start + 1 as string), cast(mapq as string), cigar, '*', '0', '0', '*', '*', "
+        "concat('NM:i:', cast(sb + ins + del as string)), concat('cs:Z:', cs))"
+    )
+    inner = reads_sql(source).replace("select query_name, ", "select query_name, target_name, target_start, mapq, cs, ", 1)
+    return f"{contigs} union all select {record} as value from ({inner}) x"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weft import schema
-from weft.plans.fixture import LINE_SQL, alignments_sql, reads_sql
+from weft.plans.fixture import LINE, LINE_SQL, alignments_sql, md_sql, reads_sql
 
 OP = r"(?s):[0-9]*|[=+-][A-Za-z]*|\*.{0,2}|~.{0,2}[0-9]*.{0,2}"
 INTRON = r"(?s)^~(.{0,2})([0-9]*)(.{0,2})$"
@@ -277,3 +277,43 @@ ORACLE = {
     **{f"qjc_{'unmatched' if u else 'all'}_{s.lower()}": _qjc_catalog(s, u) for s in "AB" for u in (True, False)},
     "qjc_summary": _qjc_summary(),
 }
+
+
+def _cigar() -> str:
+    return f"""WITH {_paf('B')}, c AS ({reads_sql('paf_B')}),
+o AS (SELECT *, list_transform(regexp_extract_all(cigar, '[0-9]+[^0-9]'), lambda t: {{'n': t[:-2]::BIGINT, 'k': t[-1]}}) AS ops FROM c)"""
+
+
+def _sum(kinds: str, ops: str = "ops") -> str:
+    return f"coalesce(list_sum(list_transform(list_filter({ops}, lambda x: x.k IN ({kinds})), lambda x: x.n)), 0)::BIGINT"
+
+
+def _cigar_stats() -> str:
+    m, i, d, n, s = _sum("'M', '=', 'X'"), _sum("'I'"), _sum("'D'"), _sum("'N'"), _sum("'S'")
+    lead, trail = "CASE WHEN ops[1].k IN ('S', 'H') THEN ops[1].n ELSE 0 END", "CASE WHEN len(ops) > 1 AND ops[-1].k IN ('S', 'H') THEN ops[-1].n ELSE 0 END"
+    count = lambda k: f"len(list_filter(ops, lambda x: x.k = '{k}'))::BIGINT"
+    return f"""{_cigar()} SELECT line, cigar, {m} AS m, {i} AS i_bases, {d} AS d_bases, {n} AS n_bases, {count('I')} AS i_count, {count('D')} AS d_count, {s} AS soft, {lead} AS lead, {trail} AS trail,
+  {m} + {d} + {n} AS ref_len, {m} + {i} + {s} AS query_consumed, {m} + {i} + {lead} + {trail} AS query_len, {m} + {i} + {d} AS block_len FROM o"""
+
+
+def _cigar_introns() -> str:
+    before = _sum("'M', '=', 'X', 'D', 'N'", "ops[1:p-1]")
+    return f"""{_cigar()}, e AS (SELECT line, ops, unnest(list_filter(range(1, len(ops) + 1), lambda i: ops[i].k = 'N')) AS p FROM o)
+SELECT line, len(list_filter(ops[1:p], lambda x: x.k = 'N'))::INT - 1 AS place, {before} AS intron_start, {before} + ops[p].n AS intron_end FROM e"""
+
+
+_GAPS = f"{_sum(chr(39) + 'I' + chr(39))} + {_sum(chr(39) + 'D' + chr(39))}"
+_SAM_START = "CASE WHEN un THEN 0 WHEN strand = '-' THEN query_len - query_end ELSE query_start END::BIGINT"
+_SAM_END = "CASE WHEN un THEN 0 WHEN strand = '-' THEN query_len - query_start ELSE query_end END::BIGINT"
+
+ORACLE |= {
+    "cigar_stats": _cigar_stats(),
+    "cigar_introns": _cigar_introns(),
+    "nm_calibration": f"{_cigar()} SELECT line, CASE WHEN flag % 32 = 0 THEN greatest(sb + ins, {_GAPS}) END::BIGINT AS nm, CASE WHEN flag % 32 = 0 THEN greatest(sb + ins, {_GAPS}) - ({_GAPS}) ELSE 0 END::BIGINT AS mm FROM o",
+    "sam_flag_filter": f'{_cigar()} SELECT line, flag, true AS "all", flag & 256 = 0 AS primary_supp, flag & 2304 = 0 AS "primary" FROM o',
+    "md_to_cs": f"WITH {_paf('A')}, m AS ({md_sql('paf_A')}) SELECT line, {_strip('cs')} AS cs, NULL::VARCHAR AS error FROM m",
+    "format_float": f"WITH {_paf('A')}, d AS (SELECT DISTINCT n_residue_matches::DOUBLE / nullif(aln_block_len, 0) AS aln_identity FROM paf_A) SELECT aln_identity, aln_identity::VARCHAR AS shown FROM d WHERE aln_identity IS NOT NULL",
+    "paf_text_roundtrip": f"WITH {_paf('B')} SELECT {', '.join(LINE)}, ms_score, as_score, cs, tp_tag, ts_tag, line FROM paf_B",
+    "sam_to_paf": f"""WITH {_paf('A')} SELECT query_name, CASE WHEN un THEN 1 ELSE query_len END::BIGINT AS query_len, {_SAM_START} AS query_start, {_SAM_END} AS query_end, strand, target_name, target_len, target_start, target_end, n_residue_matches, aln_block_len, mapq,
+  CASE WHEN un THEN '*' WHEN tp_tag = 'S' THEN 'S' ELSE 'P' END AS tp_tag, CASE WHEN un THEN NULL ELSE sb + ins + del END::BIGINT AS nm, CASE WHEN un THEN 0 ELSE sb END::BIGINT AS mm, cs FROM paf_A""",
+}

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import schema
+from weft.functions import cigar as G
 from weft.functions import cs as C
 from weft.functions import text as X
 from weft.operators import classify as K
 from weft.operators import collapse, features, pair, regions
 from weft.operators import compare as P
 from weft.operators import junctions as J
-from weft.plans.fixture import alignments, reads_sql
+from weft.plans.fixture import alignments, md_sql, reads_sql, sam_sql
+from weft.sources import paf, sam
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,3 +208,62 @@ def qjc_summary(spark, sf_dir):
 
 def sam_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(reads_sql("{rows}"), rows=alignments(spark, sf_dir, "B", parts=True))
+
+
+@query
+def cigar_stats(spark, sf_dir):
+    names = ["m", "i_bases", "d_bases", "n_bases", "i_count", "d_count", "soft", "lead", "trail", "ref_len", "query_consumed", "query_len", "block_len"]
+    rows = sam_like(spark, sf_dir).withColumn("s", G.stats(c("cigar")))
+    return rows.select("line", "cigar", *[c(f"s.{n}").alias(n) for n in names])
+
+
+@query
+def cigar_introns(spark, sf_dir):
+    rows = sam_like(spark, sf_dir).select("line", F.posexplode(G.introns(c("cigar"))).alias("place", "i"))
+    return rows.select("line", "place", c("i.start").alias("intron_start"), c("i.end").alias("intron_end"))
+
+
+@query
+def nm_calibration(spark, sf_dir):
+    """Half of the reads have no NM tag; some have one that is too small."""
+    rows = sam_like(spark, sf_dir).withColumn("s", G.stats(c("cigar")))
+    nm, mm = G.calibrated(c("s"), F.when(c("flag") % 32 == 0, (c("sb") + c("ins")).cast("bigint")))
+    return rows.select("line", nm.alias("nm"), mm.alias("mm"))
+
+
+@query
+def sam_flag_filter(spark, sf_dir):
+    rows = sam_like(spark, sf_dir).withColumn("rname", F.lit("x"))
+    return rows.select("line", "flag", sam.is_kept("all").alias("all"), sam.is_kept("primary-supp").alias("primary_supp"), sam.is_kept("primary").alias("primary"))
+
+
+@query
+def md_to_cs(spark, sf_dir):
+    """cs strings rebuilt from CIGAR, MD and SEQ of reads made to have known ones."""
+    rows = spark.sql(md_sql("{rows}"), rows=alignments(spark, sf_dir, "A", parts=True))
+    made = rows.withColumn("r", G.rebuild_cs()(c("cigar"), c("md"), c("seq")))
+    return made.select("line", c("r.cs").alias("cs"), c("r.error").alias("error"))
+
+
+@query
+def format_float(spark, sf_dir):
+    rows = features.derive(alignments(spark, sf_dir, "A")).select("aln_identity").filter("aln_identity is not null").distinct()
+    return rows.select("aln_identity", X.plain_number(c("aln_identity")).alias("shown"))
+
+
+def as_read(lines: DataFrame, name: str) -> DataFrame:
+    """Made-up lines as a source would give them: generated, so that filters aren't pushed into their making."""
+    return lines.select(F.explode(F.array(name)).alias("value"))
+
+
+@query
+def paf_text_roundtrip(spark, sf_dir):
+    good, _ = paf.parse(as_read(alignments(spark, sf_dir, "B"), "line"))
+    return good.drop("xs_tag")
+
+
+@query
+def sam_to_paf(spark, sf_dir):
+    lines = spark.sql(sam_sql("{rows}"), rows=alignments(spark, sf_dir, "A", parts=True))
+    rows, _ = sam.convert(as_read(lines, "value"), "all")
+    return rows.select(*schema.names(schema.PAF_COLUMNS), "tp_tag", "nm", "mm", "cs")

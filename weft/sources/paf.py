@@ -42,23 +42,25 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = schema.names(schema.PAF_COLUMNS)
     numbers = [n for n, kind in schema.PAF_COLUMNS if kind == "n"]
     field = {n: F.get("__f", F.lit(i)) for i, n in enumerate(names)}
-    typed = parts.select(
-        *more, "value", F.size("__f").alias("__n"), F.coalesce(F.get("__f", F.lit(12)), F.lit("")).alias("__tags"),
+    # one lambda over the fields: a branch for each would be more code than a compiled stage may hold
+    fields = F.array(*[field[n] for n in numbers])
+    bad = (
+        F.when(F.size("__f") < 12, "fewer than 12 fields")
+        .when(~F.forall(fields, lambda x: natural(x).isNotNull()) | natural(field["mapq"], 2**32 - 1).isNull(), "a number of plain digits is missing or too large")
+        .when(~field["strand"].isin("+", "-", "*"), "strand is none of + - *")
+    )
+    typed = parts.withColumn("reason", bad).select(
+        *more, "value", "reason", F.coalesce(F.get("__f", F.lit(12)), F.lit("")).alias("__tags"),
         *[(natural(field[n], 2**32 - 1 if n == "mapq" else 2**63 - 1) if n in numbers else field[n]).alias(n) for n in names],
     )
-    bad = F.when(c("__n") < 12, "fewer than 12 fields")
-    for n in numbers:
-        bad = bad.when(c(n).isNull(), f"{n} is no whole number")
-    bad = bad.when(~c("strand").isin("+", "-", "*"), "strand is none of + - *")
-    judged = typed.withColumn("reason", bad)
     mapped = (c("target_name") != "*") & (c("strand") != "*")
     score = lambda name: F.when(mapped, F.coalesce(tag_values(c("__tags"), name).try_cast("bigint"), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
     letter = lambda name: F.when(mapped, F.coalesce(F.left(tag_values(c("__tags"), name), F.lit(1)), F.lit("*"))).otherwise("*")
-    good = judged.filter("reason is null").select(
+    good = typed.filter("reason is null").select(
         *more, *names, score("ms:i").alias("ms_score"), score("AS:i").alias("as_score"), F.when(mapped, F.coalesce(tag_values(c("__tags"), "cs:Z"), F.lit(""))).otherwise("").alias("cs"),
         letter("tp:A").alias("tp_tag"), letter("ts:A").alias("ts_tag"), letter("XS:A").alias("xs_tag"), c("value").alias("line"),
     )
-    return good, judged.filter("reason is not null").select(*more, c("value").alias("line"), "reason")
+    return good, typed.filter("reason is not null").select(*more, c("value").alias("line"), "reason")
 
 
 def line_names(lines: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def header(lines: DataFrame) -> DataFrame:
 def records(lines: DataFrame) -> DataFrame:
     """Fields and tags of record lines, as text; other columns are kept."""
     more = [x for x in lines.columns if x != "value"]
-    own = lines.filter(~F.startswith("value", F.lit("@"))).withColumn("__f", F.split("value", "\t", 12))
+    own = lines.filter(~F.startswith("value", F.lit("@")))
+    own = own.select("*", F.explode(F.array(F.split("value", "\t", 12))).alias("__f"))
     return own.select(*more, "value", F.size("__f").alias("n_fields"), *[F.get("__f", F.lit(i)).alias(n) for i, n in enumerate(FIELDS)], F.coalesce(F.get("__f", F.lit(11)), F.lit("")).alias("tags"))
 
 
@@ -88,7 +89,8 @@ def convert(lines: DataFrame, which: str = "primary-supp", long_cs: bool = False
     contigs = header(lines)
     few = contigs.limit(BROADCAST_CONTIGS + 1).count() <= BROADCAST_CONTIGS
     kept = sound.filter(~is_unmapped() & is_kept(which)).join(F.broadcast(contigs) if few else contigs, c("rname") == c("contig"), "left")
-    kept = kept.withColumn("s", G.stats(c("cigar")))
+    # generated, not projected, so that no filter is pushed below with the statistics in each of its terms
+    kept = kept.select("*", F.explode(F.array(G.stats(c("cigar")))).alias("s"))
     given, md = _tag(c("tags"), "cs"), _tag(c("tags"), "MD")
     rebuilt = G.rebuild_cs(long_cs)
     need = given.isNull() & md.isNotNull() & (c("seq") != "*")
@@ -105,7 +107,7 @@ def convert(lines: DataFrame, which: str = "primary-supp", long_cs: bool = False
         .when(c("seq") == "*", F.concat(F.lit("fatal: mapped read "), c("qname"), F.lit(" has an MD tag but SEQ is '*'")))
         .when(c("rebuilt.cs").isNull(), F.concat(F.lit("fatal: read "), c("qname"), F.lit(": "), F.coalesce("rebuilt.error", F.lit(""))))
     )
-    kept = kept.withColumn("reason", late)
+    kept = kept.select("*", F.explode(F.array(F.struct(late.alias("reason")))).alias("__late")).drop("reason").withColumn("reason", c("__late.reason"))
     away = away.unionByName(kept.filter("reason is not null").select(*more, c("value").alias("line"), "reason"))
     nm, mm = G.calibrated(c("s"), natural(_tag(c("tags"), "NM")))
     turned = c("flag").bitwiseAND(0x10) != 0
