@@ -393,6 +393,28 @@ def test_decontamination_edges(spark, edge, docs, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in whole})
 
 
+def test_verbatim_items_of_any_length(spark):
+    import random
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 4)))
+    common = [word() for _ in range(300)]  # words of items are common ones, their neighbours are rare
+    lengths = [5, 6, 7, 8, 10, 12, 13, 14, 18, 24, 25, 43, 100, 150, 200, 300, 400, 600, 1000]
+    items = [(i, " ".join(rnd.choice(common) for _ in range(n))) for i, n in enumerate(lengths)]
+    rare = lambda n: " ".join(word() + word() + word() for _ in range(n))
+    texts = [(i, f"{rare(31)} {text} {rare(57)}") for i, text in items] + [(500 + k, " ".join(rnd.choice(common) for _ in range(80))) for k in range(40)]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
+
+
+def test_changed_long_and_short_items(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (6, 8, 12, 300, 600)]
+    changed = lambda text: " ".join("other" if k % 6 == 4 else w for k, w in enumerate(text.split()))
+    texts = [(n, " ".join(f"r{n}y{k}" for k in range(40)) + f" {changed(text)} " + " ".join(f"s{n}y{k}" for k in range(41))) for n, text in items]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(n, n) for n, _ in items}
+
+
 def test_subsequence_and_run():
     from itertools import product
 

@@ -3,18 +3,23 @@
 1. Words: lower case, letters and digits. The benchmark is taken in groups of blocks of ``BLOCK`` items;
    a group's words are its vocabulary. The rest is the same for each group, whatever their number.
 2. TF-IDF: document frequencies of the vocabulary are counted over all documents, whole texts.
-3. Randomised SVD of the TF-IDF passages, distributed by blocks: each block's matrix is multiplied by a
+3. Passages: an item of more than ``WINDOW`` words is folded in as overlapping passages of ``WINDOW`` words,
+   at most ``STEP`` apart, the last one at its end, so a cosine never depends on an item's length.
+4. Randomised SVD of the TF-IDF passages, distributed by blocks: each block's matrix is multiplied by a
    random one, the range is refined by power iterations, and the small matrix that is left is decomposed;
    its right vectors span the block's latent space. Passages have length 1, so short items count as much
-   as long ones, and the space has as many dimensions as a block has items, so none is left out. A
+   as long ones, and the space has as many dimensions as a block has passages, so none is left out. A
    decomposition of the whole corpus with so few dimensions would lose the rare words: there, all texts
    of a language lie close together.
-4. Search: a document is seen as windows of ``WINDOW`` words with half of them shared. A window is folded
-   into each block's space, and items whose cosine reaches ``COSINE`` are candidates. Only windows whose
-   share of energy in the vocabulary makes that cosine possible are folded in (Cauchy-Schwarz).
-5. Check: for a candidate, the longest common subsequence of the item's words and the words around the
+5. Search: a document is seen as windows with half of them shared, of the least of ``WIDTHS`` that holds the
+   block's passages. A window is folded into each block's space, and items with a passage whose cosine
+   reaches ``COSINE`` are candidates. Windows whose words' largest weights in the block don't add up to
+   that cosine are left out, which loses none.
+6. Runs: items that share ``RUN`` words in a row with the document (all words, if the item has fewer) are
+   candidates whatever the cosine. They are found by hashes of the places of words in the vocabulary.
+7. Check: for a candidate, the longest common subsequence of the item's words and the words around the
    windows must hold ``SHARE`` of the item, and of its answer, its last sentence, ``ANSWER`` (or of the
-   item ``SURE``); or a run of ``RUN`` words must be equal.
+   item ``SURE``); or a run of ``RUN`` words must be equal. The cosine of a candidate by runs alone is 0.
 
 Items of fewer than ``FEWEST`` words are looked for as they are: any document that holds all of them
 in a row. Null texts count as empty; empty items match nothing. Rows that share a doc_id are each
@@ -33,7 +38,8 @@ from weft.llm.common import cut, without_ids
 
 BLOCK, GROUP = 96, 2048
 RANK, OVER, POWER = 96, 16, 2
-WINDOW = 24
+WINDOW, STEP = 24, 18
+WIDTHS = (6, 12, WINDOW)
 COSINE = 0.4
 SHARE, ANSWER, SURE, RUN = 0.7, 0.5, 0.85, 13
 FEWEST = 5
@@ -94,8 +100,28 @@ def latent_space(rows, n_terms: int, seed: int):
     return right[: min(RANK, rank)].T.astype(np.float32), dense
 
 
+def passages_of(words: list[bytes]) -> list[list[bytes]]:
+    """The passages of an item: all of it, or overlapping pieces of WINDOW words."""
+    if len(words) <= WINDOW:
+        return [words]
+    n = -(-(len(words) - WINDOW) // STEP)
+    return [words[a : a + WINDOW] for a in ((len(words) - WINDOW) * k // n for k in range(n + 1))]
+
+
+def run_hashes(ids, length: int):
+    """Hashes of the runs of ``length`` ids at each place; they wrap, so equal runs have equal hashes."""
+    import numpy as np
+
+    n = len(ids) - length + 1
+    own = ids.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(n, dtype=np.uint64)
+    for k in range(length):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+    return total
+
+
 class Index:
-    """A group of items, their vocabulary and their blocks' latent spaces."""
+    """A group of items, their vocabulary, their passages' latent spaces and their runs."""
 
     def __init__(self, items: list[tuple[int, str]], idf, vocabulary: dict[bytes, int], spaces: list):
         import numpy as np
@@ -103,51 +129,76 @@ class Index:
         self.vocabulary, self.spaces = vocabulary, spaces
         self.items = [(item, words_of(text), answer_of(text)) for item, text in items]
         self.idf = np.append(idf, np.median(idf) if len(idf) else 1.0).astype(np.float32)
-        self.inside = np.append(np.ones(len(idf)), 0.0)
         self.energy = self.idf.astype(np.float64) ** 2
-
-    def candidates(self, words: list[bytes]):
-        """{item's place: (first word, last word, cosine)} by runs of windows; yields each run."""
+        runs: dict[int, dict[int, set[int]]] = {}
+        for place, (_, words, _) in enumerate(self.items):
+            ids = np.array([vocabulary[w] for w in words], dtype=np.int64)
+            length = min(RUN, len(words))
+            for value in run_hashes(ids, length).tolist():
+                runs.setdefault(length, {}).setdefault(value, set()).add(place)
+        self.runs = {length: (np.array(sorted(held), dtype=np.uint64), held) for length, held in runs.items()}
+
+    def candidates(self, ids):
+        """(item's place, first word, last word, cosine) by windows."""
         import numpy as np
 
-        n = len(words)
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], dtype=np.int32)
-        energy = self.energy[ids]
-        every = np.concatenate([[0.0], np.cumsum(energy)])
-        known = np.concatenate([[0.0], np.cumsum(energy * self.inside[ids])])
-        starts = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
-        ends = np.minimum(starts + WINDOW, n)
-        norms = every[ends] - every[starts]
-        picked = np.nonzero(known[ends] - known[starts] >= COSINE * COSINE * norms)[0]
-        if not len(picked):
-            return
-        width = self.spaces[0][1].shape[1] if self.spaces else 0
-        padded = np.concatenate([ids, np.full(WINDOW, -1, dtype=np.int32)])
-        for at in range(0, len(picked), 2048):
-            part = picked[at : at + 2048]
-            places = padded[starts[part][:, None] + np.arange(WINDOW)]
-            places[starts[part][:, None] + np.arange(WINDOW) >= ends[part][:, None]] = -1
-            for first, folded, latent in self.spaces:
-                width = folded.shape[1]
-                sums = np.zeros((len(part), width), dtype=np.float32)
-                for k in range(WINDOW):
-                    sums += folded[places[:, k]]
-                cosines = (sums @ latent.T) / np.sqrt(norms[part])[:, None].astype(np.float32)
+        n = len(ids)
+        every = np.concatenate([[0.0], np.cumsum(self.energy[ids])])
+        cuts = {}
+        for owners, remap, scores, most, width in self.spaces:
+            if width not in cuts:
+                starts = np.arange(0, max(1, n - width // 2), width // 2)
+                ends = np.minimum(starts + width, n)
+                cuts[width] = starts, ends, np.sqrt(every[ends] - every[starts])
+            starts, ends, norms = cuts[width]
+            local = remap[ids]
+            bound = np.concatenate([[0.0], np.cumsum(most[local])])
+            picked = np.nonzero(bound[ends] - bound[starts] >= (COSINE - 1e-4) * norms)[0]
+            if not len(picked):
+                continue
+            padded = np.concatenate([local, np.full(width, len(most) - 1, dtype=np.int32)])
+            for at in range(0, len(picked), 2048):
+                part = picked[at : at + 2048]
+                places = padded[starts[part][:, None] + np.arange(width)]
+                sums = np.zeros((len(part), scores.shape[1]), dtype=np.float32)
+                for k in range(width):
+                    sums += scores[places[:, k]]
+                cosines = sums / norms[part][:, None].astype(np.float32)
                 for row, column in zip(*np.nonzero(cosines >= COSINE)):
-                    yield first + int(column), int(starts[part[row]]), int(ends[part[row]]), float(cosines[row, column])
+                    yield owners[column], int(starts[part[row]]), int(ends[part[row]]), float(cosines[row, column])
+
+    def equal_runs(self, ids):
+        """(item's place, first word, last word, 0) by runs."""
+        import numpy as np
+
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        for length, (values, held) in self.runs.items():
+            if len(ids) < length:
+                continue
+            whole = known[length:] - known[:-length] == length
+            if not whole.any():
+                continue
+            hashes = run_hashes(ids, length)
+            near = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+            for at in np.nonzero(whole & (values[near] == hashes))[0].tolist():
+                for place in held[int(hashes[at])]:
+                    yield place, at, at + length, 0.0
 
     def search(self, text: str):
         """(item_id, cosine, lcs, answer, run) of each item that the text holds."""
         words = words_of(text)
         if not words:
             return
+        import numpy as np
+
+        get = self.vocabulary.get
+        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         regions: dict[int, list] = {}
-        for item, start, end, cosine in self.candidates(words):
+        for item, start, end, cosine in sorted([*self.candidates(ids), *self.equal_runs(ids)]):
             around = len(self.items[item][1])
             start, end = max(0, start - around), end + around
             known = regions.setdefault(item, [])
-            # windows come in order; those that touch are one region, unless it has grown long
+            # windows and runs come in order; those that touch are one region, unless it has grown long
             if known and start <= known[-1][1] and known[-1][1] - known[-1][0] < 8 * (around + WINDOW):
                 known[-1][1], known[-1][2] = max(known[-1][1], end), max(known[-1][2], cosine)
             else:
@@ -191,11 +242,16 @@ def _frequencies(own: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return own.select("text").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _spaces(spark, items: list[tuple[int, str]], vocabulary: dict[bytes, int], idf) -> list:
-    """[(first item's place, folded vectors [terms + 1, rank], items' unit vectors [items, rank])] of each block, one task a block."""
+def _spaces(spark, texts: list[str], vocabulary: dict[bytes, int], idf) -> list:
+    """[(items' places, terms' rows, their cosines' parts [rows + 1, passages], the largest of each row, window's width)] of each block, one task a block."""
     import numpy as np
 
-    blocks = [(b, [text for _, text in items[b : b + BLOCK]]) for b in range(0, len(items), BLOCK)]
+    passages: dict[int, list[tuple[int, str]]] = {}
+    for place, text in enumerate(texts):
+        for words in passages_of(words_of(text)):
+            passages.setdefault(next(w for w in WIDTHS if len(words) <= w), []).append((place, b" ".join(words).decode()))
+    parts = [(width, own[b : b + BLOCK]) for width, own in sorted(passages.items()) for b in range(0, len(own), BLOCK)]
+    blocks = [(k, [text for _, text in own]) for k, (_, own) in enumerate(parts)]
     frame = spark.createDataFrame(blocks, "first bigint, texts array<string>").repartition(min(len(blocks), 64))
 
     def run(batches):
@@ -204,7 +260,7 @@ def _spaces(spark, items: list[tuple[int, str]], vocabulary: dict[bytes, int], i
             for first, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
                 for text in texts:
-                    terms, counts = np.unique([vocabulary[w] for w in words_of(text)], return_counts=True)
+                    terms, counts = np.unique([vocabulary[w] for w in text.encode().split()], return_counts=True)
                     terms = terms.astype(np.int64)
                     weights = np.sqrt(counts) * idf[terms] if len(terms) else np.zeros(0)
                     rows.append((terms, weights / max(1e-9, np.linalg.norm(weights))))
@@ -214,16 +270,19 @@ def _spaces(spark, items: list[tuple[int, str]], vocabulary: dict[bytes, int], i
                 out.append((first, own.astype(np.int32).tobytes(), right.tobytes(), (dense @ right).tobytes(), np.linalg.norm(dense, axis=1).astype(np.float32).tobytes(), right.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 6, (pa.int64(), *[pa.binary()] * 4, pa.int64()))], names=["first", "own", "right", "latent", "norms", "rank"])
 
-    # bounded: at most GROUP / BLOCK blocks of the items of one group
+    # bounded: the blocks of the passages of one group, about GROUP of them
     made = frame.mapInArrow(run, "first bigint, own binary, right binary, latent binary, norms binary, rank bigint").collect()
     spaces = []
     for row in sorted(made, key=lambda r: r["first"]):
         own, rank = np.frombuffer(row["own"], np.int32), row["rank"]
-        folded = np.zeros((len(vocabulary) + 1, rank), dtype=np.float32)
-        folded[own] = np.frombuffer(row["right"], np.float32).reshape(-1, rank) * idf[own][:, None]
+        folded = np.frombuffer(row["right"], np.float32).reshape(-1, rank) * idf[own][:, None]
         latent = np.frombuffer(row["latent"], np.float32).reshape(-1, rank)
         norms = np.maximum(np.frombuffer(row["norms"], np.float32), 1e-9)
-        spaces.append((row["first"], folded, (latent / norms[:, None]).astype(np.float32)))
+        scores = np.vstack([folded @ (latent / norms[:, None]).T, np.zeros((1, len(latent)))]).astype(np.float32)
+        remap = np.full(len(vocabulary) + 1, len(own), dtype=np.int32)
+        remap[own] = np.arange(len(own))
+        width, held = parts[row["first"]]
+        spaces.append(([place for place, _ in held], remap, scores, np.maximum(scores.max(axis=1), 0).astype(np.float64), width))
     return spaces
 
 
@@ -236,7 +295,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     kinds = {"id": own.schema["doc_id"].dataType.simpleString(), "item": items.schema["item_id"].dataType.simpleString()}
     n_docs = max(1, own.count())
-    n_groups = max(1, -(-items.count() // (GROUP // 2)))  # hashed groups are near half of the bound in size
+    n_passages = items.agg(F.sum(F.lit(1) + F.floor(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")) / STEP))).first()[0] or 0
+    n_groups = max(1, -(-n_passages // (GROUP // 2)))  # hashed groups are near half of the bound in size
     grouped = cut(items.withColumn("group", F.pmod(F.xxhash64("text", "item_id"), F.lit(n_groups))))
     results = []
     for group in range(n_groups):
@@ -249,7 +309,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if vocabulary:
             for row in _frequencies(own, vocabulary).collect():  # one row a word of the group
                 idf[row["term"]] = np.log((n_docs + 1.0) / (row["df"] + 1.0)) + 0.1
-        index = Index(long, idf, vocabulary, _spaces(spark, long, vocabulary, idf) if long else [])
+        index = Index(long, idf, vocabulary, _spaces(spark, [t for _, t in long], vocabulary, idf) if long else [])
         shared = spark.sparkContext.broadcast(index.__dict__)
 
         def run(batches, shared=shared, short=short, kinds=kinds):
