@@ -415,6 +415,14 @@ def test_changed_long_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(n, n) for n, _ in items}
 
 
+def test_runs_of_long_items(spark):
+    words = [f"w{k}" for k in range(100)]
+    rare = lambda d, n: " ".join(f"d{d}y{k}" for k in range(n))
+    texts = [(n, f"{rare(n, 30)} {' '.join(words[50 : 50 + n])} {rare(n + 50, 33)}") for n in (12, 13, 16, 29)]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["run"]) for r in found.collect()} == {(13, 13), (16, 16), (29, 29)}
+
+
 def test_subsequence_and_run():
     from itertools import product
 

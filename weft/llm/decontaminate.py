@@ -209,8 +209,9 @@ class Index:
             for start, end, cosine in regions[place]:
                 for a in range(start, end, max(1, len(own))):
                     piece = words[a : min(end, a + 2 * len(own) + 4)]
-                    shared = common_subsequence(own, piece) / len(own)
-                    if shared < 0.3:
+                    common = common_subsequence(own, piece)
+                    shared = common / len(own)
+                    if shared < SHARE and common < RUN:  # a run is a common subsequence
                         continue
                     run = common_run(own, piece)
                     held = common_subsequence(answer, piece) / len(answer)
