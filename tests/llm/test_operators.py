@@ -600,6 +600,13 @@ def test_near_duplicate_edges(spark, edge):
     assert rows_of(simhash.deduplicate(repeated)) == [(5, "a b c d"), (6, "other words are here")]
 
 
+def test_groups_of_null_and_repeated_ids_keep_a_row(spark):
+    one, two, three, four = ("alpha beta gamma delta", "one two three four five six", "red green blue", "north south east west up")
+    rows = [(None, one), (None, two), (None, three), (3, three), (2, two), (5, two), (5, four), (8, four), (None, one)]
+    found = rows_of(simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert found == sorted([(None, one), (2, two), (3, three), (5, four)], key=str)
+
+
 def test_skew_join_keeps_rows(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(100)], "id bigint, k string")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3)], "k string, v int")

@@ -24,32 +24,39 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, without_ids
+from weft.llm.common import bounded, cut
 
 HOT = 512
 
 
-def fingerprint_of(text: bytes, shingle: int = 3) -> int:
-    """The fingerprint of one UTF-8 text, as a signed 64-bit number."""
+def shingle_hashes(words: list[bytes], shingle: int) -> bytes:
+    """The XXH64 digests of the shingles of a text with words."""
     import numpy as np
     import xxhash
 
-    words = text.lower().split()  # of bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
     digest = xxhash.xxh64_digest
     if len(words) <= shingle:
-        hashes = digest(b" ".join(words), 42)
-    else:
-        line = b" ".join(words)
-        ends = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends += 1
-        np.cumsum(ends, out=ends)
-        starts = [0, *ends[:-shingle].tolist()]
-        hashes = b"".join([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())])
+        return digest(b" ".join(words), 42)
+    line = b" ".join(words)
+    ends = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends += 1
+    np.cumsum(ends, out=ends)
+    starts = [0, *ends[:-shingle].tolist()]
+    return b"".join([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())])
+
+
+def fingerprint_of(text: bytes, shingle: int = 3) -> int:
+    """The fingerprint of one UTF-8 text, as a signed 64-bit number."""
+    words = text.lower().split()  # of bytes: only A-Z change, only ASCII white space splits
+    return fingerprint_from(shingle_hashes(words, shingle)) if words else 0
+
+
+def fingerprint_from(hashes: bytes) -> int:
+    import numpy as np
+
     n = len(hashes) // 8
     grid = np.frombuffer(hashes, dtype=np.uint8).reshape(n, 8)
     if n < 64:
@@ -177,18 +184,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, fp) for each row; th is the text's digest."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    narrow = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("th"), text.alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            fps = []
+            for text in batch.column(2):
+                words = text.as_py().lower().split()
+                fps.append(fingerprint_from(shingle_hashes(words, 3)) if words else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "th", "fp"])
+
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th string, fp bigint")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one whose id is the component's id.
+    """``docs`` with one row of each component: the one with the least id, a null id after all others.
 
-    If rows share that id, the one whose whole row has the least hash stays.
+    Rows are told apart by id and text, so rows that share an id, or have none, are judged each. If rows
+    of a component share the least id, the one whose text's digest is least stays, and of these the one
+    whose whole row has the least hash.
     """
-    found = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id")
-    drop = cut(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = without_ids(docs, drop, id_col)
-    rows = [F.col(c).cast("string") for c in docs.columns]
-    copies = kept.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__many"))
-    many = cut(copies)
+    rows = cut(_text_rows(docs, id_col, text_col))
+    links = close_pairs(rows.select("fp").distinct())
+    roots = components(links).withColumnRenamed("node", "fp")
+    keys = rows.groupBy("id", "th", "fp").agg(F.count("*").alias("n"))
+    rooted = cut(keys.join(roots, "fp", "left").select("id", "th", "n", F.coalesce("root", "fp").alias("root")))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    first = rooted.groupBy("root").agg(F.min(place).alias("first"))
+    judged = cut(rooted.join(first, "root").select("id", "th", "n", place.eqNullSafe(F.col("first")).alias("stays")))
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+    def on(ids: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        ids = bounded(cut(ids.select(F.col("id").alias("__id"), F.col("th").alias("__th"))))
+        return rows.join(ids, F.col(id_col).eqNullSafe(F.col("__id")) & (text == F.col("__th")), how)
+
+    kept = on(judged.filter("not stays"), "left_anti", docs)
+    many = judged.filter("stays and n > 1")
     if many.isEmpty():
         return kept
-    order = Window.partitionBy(id_col).orderBy(F.sha2(F.concat_ws("\x1f", *[F.coalesce(r, F.lit("\x00")) for r in rows]), 256))
-    return kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    hashed = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in docs.columns]), 256)
+    copies = on(many, "left_semi", docs).groupBy(F.col(id_col).alias("__id"), text.alias("__th")).agg(F.min_by(F.struct(*docs.columns), hashed).alias("__row"))
+    return on(many, "left_anti", kept).union(copies.select("__row.*"))
