@@ -600,6 +600,25 @@ def test_near_duplicate_edges(spark, edge):
     assert rows_of(simhash.deduplicate(repeated)) == [(5, "a b c d"), (6, "other words are here")]
 
 
+def test_similar_texts_are_one_group(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows, similar = [], {}
+    for k in range(60):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        other = list(words)
+        for at in rnd.sample(range(120), 1 + k % 6):
+            other[at] = f"c{rnd.randrange(10**6)}"
+        a, b = ({" ".join(w[i : i + 5]) for i in range(116)} for w in (words, other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        similar[k] = len(a & b) / len(a | b) >= 0.8
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    close = {k for k in similar if (slow_fingerprint(rows[2 * k][1]) ^ slow_fingerprint(rows[2 * k + 1][1])).bit_count() <= 3}
+    assert sum(similar.values()) > len(close) and {k for k in similar if not similar[k]} - close
+    assert kept == {2 * k for k in similar} | {2 * k + 1 for k in similar if not similar[k] and k not in close}
+
+
 def test_groups_of_null_and_repeated_ids_keep_a_row(spark):
     one, two, three, four = ("alpha beta gamma delta", "one two three four five six", "red green blue", "north south east west up")
     rows = [(None, one), (None, two), (None, three), (3, three), (2, two), (5, two), (5, four), (8, four), (None, one)]

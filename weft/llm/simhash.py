@@ -15,6 +15,12 @@
 * Components: big-star and small-star steps over links between distinct fingerprints, with a
   checkpoint after each round.
 
+The pipeline's stage (``deduplicate``) has a setting of its own: texts are near duplicates if their sets of
+shingles of ``SETS`` words have a Jaccard similarity of ``SIMILAR`` or more, or if their fingerprints are as
+close as above. Pairs are met by MinHash: ``BANDS`` bands of ``ROWS`` least hashes, of which two texts share at
+least one with probability 1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. Each pair that is met is verified with
+its whole sets. Only distinct texts are met, and only those whose fingerprints don't link them.
+
 Null texts count as empty. Rows that share a doc_id each keep their own row. A null doc_id is
 never a component's id unless its component has no other. Extra columns are ignored.
 """
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import bounded, cut
 
 HOT = 512
+SETS, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 5
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> bytes:
@@ -184,20 +192,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def shingle_set(words: list[bytes], hashes: bytes):
+    """Sorted distinct hashes of the shingles of SETS = 5 words; ``hashes``: those of 3 words, of which two that overlap in a word make one of 5."""
+    import numpy as np
+    import xxhash
+
+    if len(words) < SETS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], dtype=np.uint64)
+    three = np.frombuffer(hashes, dtype=">u8").astype(np.uint64)
+    mixed = (three[:-2] ^ three[:-2] >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + three[2:]
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed * np.uint64(0xD6E8FEB86659FD93))
+
+
+def bands_of(own):
+    """BANDS hashes of ROWS least hashes each, as signed numbers; none of an empty set."""
+    import numpy as np
+
+    if not len(own):
+        return []
+    turns = np.random.default_rng(8).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 4096):
+        mixed = (own[at : at + 4096, None] ^ turns[0]) * (turns[1] | np.uint64(1))
+        mixed ^= mixed >> np.uint64(31)
+        least = np.minimum(least, mixed.min(axis=0))
+    total = np.zeros(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        total = (total ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total.view(np.int64).tolist()
+
+
 def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, fp) for each row; th is the text's digest."""
+    """(id, th, fp, bands) for each row; th is the text's digest."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     narrow = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("th"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps = []
+            fps, bands = [], []
             for text in batch.column(2):
                 words = text.as_py().lower().split()
-                fps.append(fingerprint_from(shingle_hashes(words, 3)) if words else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "th", "fp"])
+                hashes = shingle_hashes(words, 3) if words else b""
+                fps.append(fingerprint_from(hashes) if words else 0)
+                bands.append(bands_of(shingle_set(words, hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "th", "fp", "bands"])
+
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th string, fp bigint, bands array<bigint>")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", distance: int = 3) -> DataFrame:
+    """(a, b): fingerprints of texts that are SIMILAR, further apart than ``distance`` bits."""
+    banded = rows.dropDuplicates(["th"]).select("th", "fp", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("band", "key")
+    shared = cut(banded.join(buckets, ["band", "key"]))
+    a, b = shared.withColumnsRenamed({"th": "ta", "fp": "a"}), shared.withColumnsRenamed({"th": "tb", "fp": "b"})
+    far = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > distance
+    met = cut(a.join(b, ["band", "key"]).filter((F.col("a") < F.col("b")) & far).select("ta", "tb", "a", "b").distinct())
+    wanted = cut(met.select(F.explode(F.array("ta", "tb")).alias("__th")).distinct())
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    held = docs.select(F.md5(text).alias("th"), text.alias("text")).join(bounded(wanted), F.col("th") == F.col("__th"), "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                words = text.as_py().lower().split()
+                sets.append(shingle_set(words, shingle_hashes(words, 3)).view("int64"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["th", "own"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th string, fp bigint")
+    sets = cut(held.mapInArrow(run, "th string, own array<bigint>").dropDuplicates(["th"]))
+    left, right = sets.toDF("ta", "sa"), sets.toDF("tb", "sb")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.join(left, "ta").join(right, "tb").filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +276,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whose whole row has the least hash.
     """
     rows = cut(_text_rows(docs, id_col, text_col))
-    links = close_pairs(rows.select("fp").distinct())
+    links = close_pairs(rows.select("fp").distinct()).union(similar_links(docs, rows, text_col))
     roots = components(links).withColumnRenamed("node", "fp")
     keys = rows.groupBy("id", "th", "fp").agg(F.count("*").alias("n"))
     rooted = cut(keys.join(roots, "fp", "left").select("id", "th", "n", F.coalesce("root", "fp").alias("root")))
