@@ -469,6 +469,18 @@ def test_evidence_beside_the_text_decides_unclear_texts(spark, docs):
     assert found[9000]["posterior"] != before[9000] and found[9002]["posterior"] != before[9002]
 
 
+def test_rare_declared_languages_have_models(spark, docs):
+    text = "Это довольно длинный русский текст, в котором достаточно слов для модели и нет перевода"
+    rare = [(9000 + i, f"{text} {'очень ' * i}", "ru", "src1", 90) for i in range(4)]
+    plain = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))  # half of the ids are null
+    found = language.identify(plain.union(spark.createDataFrame(rare, docs.schema)), train_rows=60)
+    assert {r["doc_id"]: r["lang"] for r in found.filter("doc_id >= 9000").collect()} == {9000 + i: "ru" for i in range(4)}
+    copies = spark.createDataFrame([(1, "uno dos tres", "es")] * 5000 + [(k, f"one two three {k}", "en") for k in range(5000)], "doc_id bigint, text string, declared string")
+    for key in (F.xxhash64("doc_id", "text"), F.lit(-1).cast("long")):
+        rows = language._least_hashes(copies, key, 400)
+        assert min(sum(r["declared"] == lang for r in rows) for lang in ("en", "es")) >= 3 and len(rows) <= 400
+
+
 def test_language_edges(spark, edge):
     assert language.identify(empty(spark)).count() == 0
     got = language.identify(edge.drop("source").withColumn("source", F.lit("x"))).collect()

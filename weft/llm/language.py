@@ -10,8 +10,9 @@ Evidence on a document's language, added as log odds:
   of its suffix, and these towards all documents'. Shares are sums over all rows, combined before
   the shuffle; a host with a third of all rows is one row a map task, and the join back salts it.
 
-The models are fitted on at most ``train_rows`` labelled rows, those with the least hashes of their
-ids; all else covers all rows. One more class, ``und``, takes any bytes equally, and is unlikely
+The models are fitted on at most ``train_rows`` labelled rows: of each declared language, those with the
+least hashes of id and text, as many of each as the bound leaves, but three of each at least (if there are
+so many), so every declared language of three rows has a model at any size. All else covers all rows. One more class, ``und``, takes any bytes equally, and is unlikely
 beforehand; a text that it explains best, or one without letters, is of no known language and is rejected.
 
 Null texts count as empty and are rejected. A null declared language or host is no evidence. Without
@@ -22,8 +23,9 @@ are judged each. Languages with equal odds go by name. Extra columns are ignored
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import cut, skew_join, without_ids
@@ -85,18 +87,37 @@ def evidence(texts, table):
         yield len(grams), np.maximum((total - total.max()) * TEMPER, -MOST)
 
 
+def _quota(counts: list[int], n: int) -> int:
+    """The most rows a language so that all have at most ``n`` in all; 3 at least."""
+    left, most = n, 0
+    for k, count in enumerate(sorted(counts)):
+        most = left // (len(counts) - k)
+        if count > most:
+            break
+        left -= count
+        most = count
+    return max(3, most)
+
+
 def _least_hashes(labelled: DataFrame, key: Column, n: int) -> list:
-    """The ``n`` rows with the least hashes.
+    """At most ``n`` rows (or 3 a language), those of each language with the least hashes.
 
-    A task would send its own ``n`` least rows to the driver, whose sum grows with the number of tasks; so
-    rows over a bound that leaves somewhat more than ``n`` in all are dropped first.
+    Rows over a bound that leaves somewhat more than a language's quota are dropped first, so tasks send few.
     """
+    counts = {r["declared"]: r["count"] for r in labelled.groupBy("declared").count().collect()}  # one row a language
+    if not counts:
+        return []
+    quota = _quota(list(counts.values()), n)
+    bounds = [(lang, min(2**63 - 1, int((1.2 * quota + 300) / count * 2**63))) for lang, count in counts.items()]
     keyed = labelled.select(F.shiftrightunsigned(key, 1).alias("__key"), "text", "declared")
-    n_rows = labelled.select("declared").count()
-    share = (1.2 * n + 300) / max(1, n_rows)
-    if share < 1:
-        keyed = keyed.filter(F.col("__key") < F.lit(int(share * 2**63)))
-    return keyed.orderBy("__key", "declared").limit(n).collect()
+    few = keyed.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "declared string, __bound bigint")), "declared").filter("__key <= __bound")
+    order = Window.partitionBy("declared").orderBy("__key")
+    rows = few.withColumn("__row", F.row_number().over(order)).filter(F.col("__row") <= quota).select("__key", "text", "declared").collect()
+    found = Counter(r["declared"] for r in rows)
+    for lang, count in counts.items():
+        if found[lang] < min(3, count):  # nearly all of its rows are copies of one over the bound
+            rows = [r for r in rows if r["declared"] != lang] + keyed.filter(F.col("declared") == lang).orderBy("__key").limit(3).collect()
+    return sorted(rows, key=lambda r: (r["__key"], r["declared"]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", train_rows: int = TRAIN_ROWS, train: DataFrame | None = None) -> DataFrame:
@@ -117,7 +138,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     kind = own.schema["doc_id"].dataType.simpleString()
     labelled = train.select("text", F.col("lang").alias("declared")) if train is not None else own
     labelled = labelled.filter(F.col("declared").isNotNull())
-    sample = _least_hashes(labelled, F.xxhash64("doc_id") if train is None else F.xxhash64("text"), train_rows)
+    sample = _least_hashes(labelled, F.xxhash64("doc_id", "text") if train is None else F.xxhash64("text"), train_rows)
     names, table = fit([(r["text"], r["declared"]) for r in sample])
     if not names:
         return own.select("doc_id", F.lit(UND).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(UND).alias("text_lang"), F.lit(False).alias("rejected"))
