@@ -6,7 +6,8 @@ again as the next stage's docs. All but the last return the columns of ``documen
 1. language: rows whose text is of no known language go.
 2. near_duplicates: one row of each group of near duplicates stays, that with the least doc_id.
 3. decontamination: documents that hold a benchmark item go.
-4. secrets: documents that hold a secret go.
+4. secrets: documents that hold a secret go; those whose only finding is a hexadecimal run without both digits
+   and letters, which op9_secrets reports, stay.
 5. mixing: sources are mixed to target weights; the result has ``copies``, how often a row is taken.
 """
 
