@@ -387,7 +387,7 @@ def test_decontamination_edges(spark, edge, docs, monkeypatch):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
     whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
     monkeypatch.setattr(decontaminate, "GROUP", 30)
-    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "SPACE", 7)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()} == whole
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in whole})
@@ -415,6 +415,50 @@ def test_changed_long_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(n, n) for n, _ in items}
 
 
+def paraphrases(words, rnd):
+    """(kind, words) of changed copies."""
+    n, new = len(words), lambda: f"zq{rnd.randrange(10**6)}"
+    for share in (10, 20, 30):
+        at = set(rnd.sample(range(n), n * share // 100))
+        yield f"{share} % replaced", [new() if i in at else w for i, w in enumerate(words)]
+    for share in (30, 60):
+        at = set(rnd.sample(range(n), n * share // 100))
+        yield f"{share} % inserted", [x for i, w in enumerate(words) for x in ([w, new()] if i in at else [w])]
+    yield "neighbours swapped", [words[i ^ 1] if i ^ 1 < n else words[i] for i in range(n)]
+    yield "halves exchanged", words[n // 2 :] + words[: n // 2]
+
+
+def test_recall_of_paraphrases(spark):
+    import random
+
+    rnd = random.Random(5)
+    data = "/root/testdata/sf0.01"
+    benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
+    hosts = [(r["text"] or "").split() for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    rows, want = [], {}
+    for r in benchmark.collect():
+        for kind, changed in paraphrases(r["text"].split(), rnd):
+            host = rnd.choice(hosts)
+            at = rnd.randrange(len(host) + 1)
+            want[len(rows)] = kind, r["item_id"]
+            rows.append((len(rows), " ".join(host[:at] + changed + host[at:])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()}
+    of = {}
+    for doc, (kind, item) in want.items():
+        of.setdefault(kind, []).append((doc, item) in found)
+    recall = {kind: sum(hits) / len(hits) for kind, hits in of.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_long_items_are_taken_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    words = [f"w{k}" for k in range(130)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[52:98])), (3, "other words")]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(words)), (9, " ".join(words))], "item_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 1, 1, 2]
+
+
 def test_runs_of_long_items(spark):
     words = [f"w{k}" for k in range(100)]
     rare = lambda d, n: " ".join(f"d{d}y{k}" for k in range(n))

@@ -1,34 +1,38 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words: lower case, letters and digits. The benchmark is taken in groups of blocks of ``BLOCK`` items;
-   a group's words are its vocabulary. The rest is the same for each group, whatever their number.
-2. TF-IDF: document frequencies of the vocabulary are counted over all documents, whole texts.
+1. Words: lower case, letters and digits. The benchmark is the stated query set. It is taken in groups of at
+   most ``GROUP`` passages, with one pass over all documents for their words' frequencies and one for the
+   search; a benchmark of some two thousand items is one group. All else is the same for each group.
+2. TF-IDF: document frequencies of the group's words are counted over all documents, whole texts.
 3. Passages: an item of more than ``WINDOW`` words is folded in as overlapping passages of ``WINDOW`` words,
-   at most ``STEP`` apart, the last one at its end, so a cosine never depends on an item's length.
-4. Randomised SVD of the TF-IDF passages, distributed by blocks: each block's matrix is multiplied by a
-   random one, the range is refined by power iterations, and the small matrix that is left is decomposed;
-   its right vectors span the block's latent space. Passages have length 1, so short items count as much
-   as long ones, and the space has as many dimensions as a block has passages, so none is left out. A
-   decomposition of the whole corpus with so few dimensions would lose the rare words: there, all texts
-   of a language lie close together.
+   at most ``STEP`` apart, the last one at its end, so a cosine never depends on an item's length. An item of
+   more than ``PIECE`` words is taken as pieces of so many words, each an item of its own with the same id.
+4. Randomised SVD of the TF-IDF passages, distributed by spaces: each matrix of ``SPACE`` passages is multiplied
+   by a random one, the range is refined by power iterations, and the small matrix that is left is decomposed in
+   a task of its own. A space keeps ``KEEP`` dimensions a passage, fewer than it has passages (or items).
 5. Search: a document is seen as windows with half of them shared, of the least of ``WIDTHS`` that holds the
-   block's passages. A window is folded into each block's space, and items with a passage whose cosine
-   reaches ``COSINE`` are candidates. Windows whose words' largest weights in the block don't add up to
-   that cosine are left out, which loses none.
+   space's passages. A window is folded into each space. What truncation leaves of a passage's length is known, so
+   the latent product over that share estimates the cosine without bias; items with a passage whose estimate
+   reaches ``COSINE`` are candidates. Windows whose words' largest parts don't add up to that are left out,
+   which loses none.
 6. Runs: items that share ``RUN`` words in a row with the document (all words, if the item has fewer) are
    candidates whatever the cosine. They are found by hashes of the places of words in the vocabulary.
 7. Check: for a candidate, the longest common subsequence of the item's words and the words around the
    windows must hold ``SHARE`` of the item, and of its answer, its last sentence, ``ANSWER`` (or of the
-   item ``SURE``); or a run of ``RUN`` words must be equal. The cosine of a candidate by runs alone is 0.
-
-Items of fewer than ``FEWEST`` words are looked for as they are: any document that holds all of them
-in a row. Null texts count as empty; empty items match nothing. Rows that share a doc_id are each
-searched, and each has rows of its own. Repeated items each have their rows. Extra columns are ignored.
+   item ``SURE``). Or a run of ``RUN`` words must be equal. Or the words there, in any order, must hold ``SURE`` of
+   the item by weight (idf), the subsequence ``LEAST`` of it, and ``ANSWER`` of the answer: parts in another order.
+
+Items of fewer than ``FEWEST`` words (and at least one) are found as runs of whole words; items without words are
+never found. Null and empty texts hold nothing; very long texts are searched whole, in windows. Repeated rows of
+documents are judged each. Repeated items with different ids are each reported, equal rows of the benchmark once.
+An item in pieces has a row for each piece that is held. Without documents or items there are no rows. Extra columns are ignored by
+``contaminated`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,12 +40,13 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import cut, without_ids
 
-BLOCK, GROUP = 96, 2048
-RANK, OVER, POWER = 96, 16, 2
-WINDOW, STEP = 24, 18
+SPACE, GROUP = 512, 4096
+KEEP, OVER, POWER = 0.4, 16, 2
+LEAST_KEPT = 0.2  # of a passage's squared length; one of which less is left counts as if so much were
+WINDOW, STEP, PIECE = 24, 18, 20_000
 WIDTHS = (6, 12, WINDOW)
 COSINE = 0.4
-SHARE, ANSWER, SURE, RUN = 0.7, 0.5, 0.85, 13
+SHARE, ANSWER, SURE, LEAST, RUN = 0.7, 0.5, 0.85, 0.45, 13
 FEWEST = 5
 
 _PLAIN = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -84,20 +89,20 @@ def common_run(a: list, b: list) -> int:
     return best
 
 
-def latent_space(rows, n_terms: int, seed: int):
-    """Right singular vectors [n_terms, rank] of sparse rows [(terms, weights)] by a randomised range finder."""
+def latent_space(rows, n_terms: int, seed: int, keep: float = KEEP):
+    """Right singular vectors [n_terms, rank] of sparse rows [(terms, weights)] by a randomised range finder, and the dense rows."""
     import numpy as np
 
     dense = np.zeros((len(rows), n_terms), dtype=np.float32)
     for i, (terms, weights) in enumerate(rows):
         dense[i, terms] = weights
-    rank = min(RANK + OVER, len(rows), n_terms)
-    found = dense @ np.random.default_rng(seed).standard_normal((n_terms, rank), dtype=np.float32)
+    rank = min(max(1, round(keep * len(rows))), n_terms)
+    found = dense @ np.random.default_rng(seed).standard_normal((n_terms, min(rank + OVER, len(rows), n_terms)), dtype=np.float32)
     for _ in range(POWER):
         found = dense @ (dense.T @ np.linalg.qr(found)[0])
     basis = np.linalg.qr(found)[0]
     _, _, right = np.linalg.svd(basis.T @ dense, full_matrices=False)
-    return right[: min(RANK, rank)].T.astype(np.float32), dense
+    return right[:rank].T.astype(np.float32), dense
 
 
 def passages_of(words: list[bytes]) -> list[list[bytes]]:
@@ -145,7 +150,7 @@ class Index:
         n = len(ids)
         every = np.concatenate([[0.0], np.cumsum(self.energy[ids])])
         cuts = {}
-        for owners, remap, scores, most, width in self.spaces:
+        for owners, remap, folded, passages, most, width in self.spaces:
             if width not in cuts:
                 starts = np.arange(0, max(1, n - width // 2), width // 2)
                 ends = np.minimum(starts + width, n)
@@ -157,13 +162,13 @@ class Index:
             if not len(picked):
                 continue
             padded = np.concatenate([local, np.full(width, len(most) - 1, dtype=np.int32)])
-            for at in range(0, len(picked), 2048):
-                part = picked[at : at + 2048]
+            for at in range(0, len(picked), 1024):
+                part = picked[at : at + 1024]
                 places = padded[starts[part][:, None] + np.arange(width)]
-                sums = np.zeros((len(part), scores.shape[1]), dtype=np.float32)
+                sums = np.zeros((len(part), folded.shape[1]), dtype=np.float32)
                 for k in range(width):
-                    sums += scores[places[:, k]]
-                cosines = sums / norms[part][:, None].astype(np.float32)
+                    sums += folded[places[:, k]]
+                cosines = (sums @ passages.T) / norms[part][:, None].astype(np.float32)
                 for row, column in zip(*np.nonzero(cosines >= COSINE)):
                     yield owners[column], int(starts[part[row]]), int(ends[part[row]]), float(cosines[row, column])
 
@@ -184,6 +189,18 @@ class Index:
                 for place in held[int(hashes[at])]:
                     yield place, at, at + length, 0.0
 
+    def weight(self, own: list[bytes], piece: list[bytes]) -> float:
+        """The share of an item's words by weight, repeats included, that a piece has in any order."""
+        left = Counter(piece)
+        total = met = 0.0
+        for word in own:
+            worth = float(self.idf[self.vocabulary[word]])
+            total += worth
+            if left[word] > 0:
+                left[word] -= 1
+                met += worth
+        return met / max(total, 1e-9)
+
     def search(self, text: str):
         """(item_id, cosine, lcs, answer, run) of each item that the text holds."""
         words = words_of(text)
@@ -211,11 +228,11 @@ class Index:
                     piece = words[a : min(end, a + 2 * len(own) + 4)]
                     common = common_subsequence(own, piece)
                     shared = common / len(own)
-                    if shared < SHARE and common < RUN:  # a run is a common subsequence
+                    if shared < LEAST and common < RUN:  # a run is a common subsequence
                         continue
                     run = common_run(own, piece)
                     held = common_subsequence(answer, piece) / len(answer)
-                    if (shared >= SHARE and held >= ANSWER) or shared >= SURE or run >= RUN:
+                    if (shared >= SHARE and held >= ANSWER) or shared >= SURE or run >= RUN or (shared >= LEAST and held >= ANSWER and self.weight(own, piece) >= SURE):
                         best = max(best or (), (shared, held, run, cosine))
             if best:
                 yield item, round(best[3], 4), round(best[0], 4), round(best[1], 4), best[2]
@@ -244,49 +261,65 @@ def _frequencies(own: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
 
 def _spaces(spark, texts: list[str], vocabulary: dict[bytes, int], idf) -> list:
-    """[(items' places, terms' rows, their cosines' parts [rows + 1, passages], the largest of each row, window's width)] of each block, one task a block."""
+    """[(items' places, terms' rows, folded terms [rows + 1, rank], passages [passages, rank], each term's largest part, window's width)] of each space, one task a space."""
     import numpy as np
 
     passages: dict[int, list[tuple[int, str]]] = {}
     for place, text in enumerate(texts):
         for words in passages_of(words_of(text)):
             passages.setdefault(next(w for w in WIDTHS if len(words) <= w), []).append((place, b" ".join(words).decode()))
-    parts = [(width, own[b : b + BLOCK]) for width, own in sorted(passages.items()) for b in range(0, len(own), BLOCK)]
-    blocks = [(k, [text for _, text in own]) for k, (_, own) in enumerate(parts)]
-    frame = spark.createDataFrame(blocks, "first bigint, texts array<string>").repartition(min(len(blocks), 64))
+    parts = [(width, own[b : b + SPACE]) for width, own in sorted(passages.items()) for b in range(0, len(own), SPACE)]
+    frame = spark.createDataFrame([(k, [text for _, text in own]) for k, (_, own) in enumerate(parts)], "space bigint, texts array<string>").repartition(min(len(parts), 64))
 
     def run(batches):
         for batch in batches:
             out = []
-            for first, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for space, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
                 for text in texts:
                     terms, counts = np.unique([vocabulary[w] for w in text.encode().split()], return_counts=True)
                     terms = terms.astype(np.int64)
-                    weights = np.sqrt(counts) * idf[terms] if len(terms) else np.zeros(0)
+                    weights = np.sqrt(counts) * idf[terms]
                     rows.append((terms, weights / max(1e-9, np.linalg.norm(weights))))
-                own = np.unique(np.concatenate([t for t, _ in rows])) if rows else np.zeros(0, np.int64)
+                own = np.unique(np.concatenate([t for t, _ in rows]))
                 places = {int(t): k for k, t in enumerate(own)}
-                right, dense = latent_space([([places[int(t)] for t in terms], weights) for terms, weights in rows], len(own), first)
-                out.append((first, own.astype(np.int32).tobytes(), right.tobytes(), (dense @ right).tobytes(), np.linalg.norm(dense, axis=1).astype(np.float32).tobytes(), right.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 6, (pa.int64(), *[pa.binary()] * 4, pa.int64()))], names=["first", "own", "right", "latent", "norms", "rank"])
+                right, dense = latent_space([([places[int(t)] for t in terms], weights) for terms, weights in rows], len(own), space)
+                out.append((space, own.astype(np.int32).tobytes(), right.tobytes(), (dense @ right).tobytes(), right.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), *[pa.binary()] * 3, pa.int64()))], names=["space", "own", "right", "latent", "rank"])
 
-    # bounded: the blocks of the passages of one group, about GROUP of them
-    made = frame.mapInArrow(run, "first bigint, own binary, right binary, latent binary, norms binary, rank bigint").collect()
+    # bounded: the spaces of one group, of at most GROUP passages of WINDOW words
+    made = frame.mapInArrow(run, "space bigint, own binary, right binary, latent binary, rank bigint").collect()
     spaces = []
-    for row in sorted(made, key=lambda r: r["first"]):
+    for row in sorted(made, key=lambda r: r["space"]):
         own, rank = np.frombuffer(row["own"], np.int32), row["rank"]
-        folded = np.frombuffer(row["right"], np.float32).reshape(-1, rank) * idf[own][:, None]
+        folded = np.vstack([np.frombuffer(row["right"], np.float32).reshape(-1, rank) * idf[own][:, None], np.zeros((1, rank))]).astype(np.float32)
         latent = np.frombuffer(row["latent"], np.float32).reshape(-1, rank)
-        norms = np.maximum(np.frombuffer(row["norms"], np.float32), 1e-9)
-        scores = np.vstack([folded @ (latent / norms[:, None]).T, np.zeros((1, len(latent)))]).astype(np.float32)
+        latent = latent / np.maximum((latent**2).sum(axis=1, keepdims=True), LEAST_KEPT)
+        most = np.concatenate([np.maximum((folded[b : b + 4096] @ latent.T).max(axis=1), 0) for b in range(0, len(folded), 4096)])
         remap = np.full(len(vocabulary) + 1, len(own), dtype=np.int32)
         remap[own] = np.arange(len(own))
-        width, held = parts[row["first"]]
-        spaces.append(([place for place, _ in held], remap, scores, np.maximum(scores.max(axis=1), 0).astype(np.float64), width))
+        width, held = parts[row["space"]]
+        spaces.append(([place for place, _ in held], remap, folded, latent, most.astype(np.float64), width))
     return spaces
 
 
+def _grouped(items: DataFrame) -> tuple[DataFrame, int]:
+    """The benchmark's distinct rows (long ones in pieces) with their ``group``, of GROUP passages at most."""
+    word = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / PIECE)).cast("int")), lambda k: F.array_join(F.slice("words", k * PIECE + 1, F.lit(PIECE)), " "))
+    words = F.regexp_extract_all("text", F.lit(word), F.lit(0))
+    # the text itself, with its sentences, unless it is long
+    pieces = items.distinct().withColumn("words", words).select("item_id", F.explode(F.when(F.size("words") > PIECE, cuts).otherwise(F.array("text"))).alias("text"), F.size("words").alias("n"))
+    sized = cut(pieces.withColumn("passages", 1 + F.floor(F.least("n", F.lit(PIECE)) / STEP)))
+    n_groups = max(1, -(-(sized.agg(F.sum("passages")).first()[0] or 0) // GROUP))
+    while True:
+        grouped = sized.withColumn("group", F.pmod(F.xxhash64("text", "item_id"), F.lit(n_groups)))
+        most = grouped.groupBy("group").agg(F.sum("passages").alias("n"), F.count("*").alias("rows")).agg(F.max(F.when(F.col("rows") > 1, F.col("n")))).first()[0] or 0
+        if most <= GROUP:
+            return cut(grouped), n_groups
+        n_groups *= 2
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, run): a row for each document and item that it holds."""
     import numpy as np
@@ -296,9 +329,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     kinds = {"id": own.schema["doc_id"].dataType.simpleString(), "item": items.schema["item_id"].dataType.simpleString()}
     n_docs = max(1, own.count())
-    n_passages = items.agg(F.sum(F.lit(1) + F.floor(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")) / STEP))).first()[0] or 0
-    n_groups = max(1, -(-n_passages // (GROUP // 2)))  # hashed groups are near half of the bound in size
-    grouped = cut(items.withColumn("group", F.pmod(F.xxhash64("text", "item_id"), F.lit(n_groups))))
+    grouped, n_groups = _grouped(items)
     results = []
     for group in range(n_groups):
         rows = grouped.filter(F.col("group") == group).orderBy("item_id", "text").collect()
