@@ -3,15 +3,18 @@
 * Each rule's regular expression is turned into a Boolean query over trigrams: a text can match
   only if it holds all trigrams of at least one clause. A rule without such trigrams (``hex``) is
   scanned in full.
-* The index has a posting (trigram, doc_id) for each text and each trigram that any query names;
-  trigrams are of the lower-cased text. Postings of a clause are intersected by ``bit_or`` of
-  the trigrams' places, which combines before the shuffle: a text's postings are made in one task.
+* The index is partitioned by document: a text's postings, the trigrams of the queries that its
+  lower-cased form holds, stay with the text. So the intersection of a clause's postings needs no
+  shuffle, and ends at the first trigram that lacks the text. Texts are read once, and verified where they are.
 * Candidates are verified by the rule's regular expression over the whole text.
 
+``postings`` and ``candidates`` are the same index as a table, for texts that are searched by many sets of rules.
+
 Kinds, in order: assign, access, hex, pem, github, jwt. A kind's spans are its pattern's leftmost
 non-overlapping matches; a match that fails its length test is dropped, and the search goes on
-behind it. Null texts count as empty. Rows that share a doc_id share candidates, and each row is
-verified by itself, so its spans are its own; a null doc_id is an id like others.
+behind it. Null and empty texts have no spans; very long ones take linear time. Each row is judged by
+itself, so repeated rows, ties and null ids need no rule. An empty table gives an empty one.
+``find_secrets`` returns two columns only, so other columns can't clash; ``without_secrets`` keeps all.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import bounded, cut, let, spans_of, sql_spans
+from weft.llm.common import let, spans_of, sql_spans
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``form`` decides what matches (and what trigrams a match must hold); ``scan`` finds the same in linear time."""
+    """``form`` decides what matches (and what trigrams a match must hold); ``scan`` finds the same in linear time, for matches of ``least`` characters."""
 
     kind: str
     form: str
@@ -47,7 +50,7 @@ RULES = (
     Rule("assign", ASSIGN, ASSIGN, value=f"^(?:{KEYWORDS})[\"\\x27]?\\x20*[:=]\\x20*[\"\\x27]?", least=12),
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]++", least=18),
     Rule("hex", "[0-9a-f]+", "(?<![0-9a-f])[0-9a-f]{16,}+", gate="[0-9a-f]{16}", least=16),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]{0,40}?PRIVATE KEY-----"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36}", "gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]++\\.eyJ[A-Za-z0-9_-]++"),
 )
@@ -141,12 +144,24 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.filter("found = whole").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
-def secret_spans(text: Column, mask: Column | None, rules: tuple[Rule, ...] = RULES) -> Column:
-    """array<struct<start, place, end, kind, hit>> by start, then rule. ``mask``: the rules to try, beside those scanned in full."""
-    indexed = {r for r, _, _ in clauses(rules)}
+def may_match(low: Column, rules: tuple[Rule, ...] = RULES) -> dict[int, Column]:
+    """For each rule with trigrams, whether a lower-cased text's postings satisfy its query. A clause's longest trigrams in bytes and least usual letters come first."""
+    usual = "etaoinsrhldcumfpgwybvkxjqz_"
+    rare = lambda gram: -sum(usual.find(c) if c in usual else 40 for c in gram)
+    queries: dict[int, Column] = {}
+    for r, _, grams in clauses(rules):
+        held = None
+        for gram in sorted(grams, key=lambda g: (rare(g), g)):
+            there = F.contains(low, F.lit(gram))
+            held = there if held is None else held & there
+        queries[r] = queries[r] | held if r in queries else held
+    return queries
+
 
-    def of_rule(r: int, rule: Rule) -> Column:
-        may = mask.bitwiseAND(F.lit(1 << r).cast("long")) != 0 if mask is not None and r in indexed else None
+def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """array<struct<start, place, end, kind, hit>> by start, then rule."""
+
+    def of_rule(r: int, rule: Rule, may: Column | None) -> Column:
         gate = text.rlike(rule.gate or rule.scan)
         spans = spans_of(text, rule.scan, gate if may is None else may & gate)
         measured = (lambda h: F.regexp_replace(h, rule.value, "")) if rule.value else (lambda h: h)
@@ -157,15 +172,17 @@ def secret_spans(text: Column, mask: Column | None, rules: tuple[Rule, ...] = RU
             lambda s: F.struct(s["start"].alias("start"), F.lit(r).alias("place"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), s["hit"].alias("hit")),
         )
 
-    return F.array_sort(F.concat(*[of_rule(r, rule) for r, rule in enumerate(rules)]))
+    def found(low: Column) -> Column:
+        may = may_match(low, rules)
+        return F.concat(*[of_rule(r, rule, may.get(r)) for r, rule in enumerate(rules)])
+
+    return F.array_sort(let(F.lower(text), found))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, secrets), one row per row of ``docs``."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    maybe = cut(candidates(postings(own, rules), rules)).withColumnRenamed("doc_id", "__id")
-    met = own.join(bounded(maybe), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return met.select("doc_id", secret_spans(F.col("text"), F.coalesce("rules", F.lit(0).cast("long")), rules).alias("secrets"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), let(text, lambda t: secret_spans(t, rules)).alias("secrets"))
 
 
 def decisive(span: Column) -> Column:
@@ -173,13 +190,10 @@ def decisive(span: Column) -> Column:
     return (span["kind"] != "hex") | (span["hit"].rlike("[0-9]") & span["hit"].rlike("[a-f]"))
 
 
-def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose texts hold a decisive secret; the rest unchanged."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    maybe = cut(candidates(postings(own))).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    met = docs.join(bounded(maybe), F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    found = secret_spans(F.coalesce(F.col(text_col), F.lit("")), F.coalesce("__rules", F.lit(0).cast("long")))
-    return met.filter(F.size(F.filter(found, decisive)) == 0).select(*docs.columns)
+    found = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: secret_spans(t))
+    return docs.filter(F.size(F.filter(found, decisive)) == 0)
 
 
 def joined(spans: Column) -> Column:
@@ -195,7 +209,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _sql() -> str:
-    quoted = {r.kind: r.form.replace("-----BEGIN [A-Z ]*", "-----BEGIN [A-Z ]{0,40}?") for r in RULES} | {"hex": "[0-9a-f]{16,}"}
+    quoted = {r.kind: r.form for r in RULES} | {"hex": "[0-9a-f]{16,}"}
     lists = ", ".join(f"{sql_spans(p)} AS all_{k}" for k, p in quoted.items())
     tests = {"assign": f"length(regexp_replace(x.h, '{RULES[0].value}', '')) >= 12", "access": "length(x.h) >= 18", "hex": "length(x.h) >= 16"}
     kept = ", ".join(f"list_transform(list_filter(all_{r.kind}, lambda x: {tests.get(r.kind, 'true')}), lambda x: {{'s': x.s, 'p': {i}, 'e': x.e, 'k': '{r.kind}'}}) AS k_{r.kind}" for i, r in enumerate(RULES))
