@@ -2,41 +2,33 @@
 
 * Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.
 * Base: places where a phrase's words stand consecutively; each phrase has a label.
-* Method: one suffix automaton holds the words of all templates. A file's words are streamed through
-  it, which gives at each word the longest match that ends there. Matches of ``LEAST`` words or more
-  that can't be extended are laid onto the templates in which they occur, and chained where text and
-  template go on in the same order with few words between. A chain that covers enough of a template
-  gives its label, its span, and its score, the share of the template's words that it covers.
-* Long texts: time is in proportion to a text's words times at most a constant, as matches are streamed
-  and a template's open chains are bounded by its length. Only runs of ``LEAST`` or more words that
-  occur in some template are streamed; no match could lie outside of them.
+* Method: one suffix automaton holds the words of all templates (notices and texts). A file's words are
+  streamed through it; the state at each word and the states of its suffixes give, for each template, the
+  longest match that ends there. Matches of ``LEAST`` words or more that can't be extended are laid onto the
+  templates, and chained where text and template go on in the same order with at most ``GAP`` words between. A
+  chain that covers ``COVER`` of a template, and has each phrase that tells it from its kin unbroken, is a span.
+* All spans of a template that don't overlap are kept, of overlapping ones the one that covers more (then the
+  first). A span of which half or more lies in a span of another label that covers more goes.
+* Score: the share of the template's words that the best span covers, times n / (n + 1) for its n words.
+* Long texts: time is in proportion to a text's words times a constant of the templates. A chain is open while a
+  match may join it, so open chains ended at most a template's length ago. Only runs of
+  ``LEAST`` or more words that occur in some template are streamed; no match could lie outside of them.
 
 Null and empty texts have no words, no labels and score 0. Each row stands alone, so repeated rows and
-ties need no rule: labels are sorted, and of equal chains of a template the first in the text is kept.
-Extra columns are ignored.
+ties need no rule: labels are sorted. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.license_texts import TEMPLATES
+
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under the creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-)
 LEAST = 3
 GAP = 4
 COVER = 0.75
@@ -95,24 +87,33 @@ class Automaton:
         return new
 
     def matches(self, words: list[bytes], first: int, end: int):
-        """(last word's place, length, state) of the longest match at each word of words[first:end] that the next word doesn't extend."""
-        state = length = 0
-        for at in range(first, end):
-            word = words[at]
-            if word in self.next[state]:
-                state, length = self.next[state][word], length + 1
-                continue
-            if length >= LEAST:
-                yield at - 1, length, state
-            while state > 0 and word not in self.next[state]:
-                state = self.link[state]
-                length = self.long[state]
-            if word in self.next[state]:
-                state, length = self.next[state][word], length + 1
-            else:
-                state = length = 0
-        if length >= LEAST:
-            yield end - 1, length, state
+        """(template, last word's place in the text, in the template, length, low) of the matches in words[first:end] that can't be extended.
+
+        They come by their last words; no later one starts before ``low``.
+        """
+        state = length = low = 0
+        live: dict[tuple[int, int], int] = {}
+        for at in range(first, end + 1):
+            now: dict[tuple[int, int], int] = {}
+            if at < end:
+                word = words[at]
+                while state > 0 and word not in self.next[state]:
+                    state = self.link[state]
+                    length = self.long[state]
+                if word in self.next[state]:
+                    state, length = self.next[state][word], length + 1
+                else:
+                    state = length = 0
+                s, n = state, length
+                while n >= LEAST:
+                    for place in self.ends[s]:
+                        now.setdefault(place, n)
+                    s = self.link[s]
+                    n = self.long[s]
+            for (number, place), n in live.items():
+                if (number, place + 1) not in now:
+                    yield number, at - 1, place, n, low
+            live, low = now, at - length + 1
 
 
 class Scanner:
@@ -120,6 +121,7 @@ class Scanner:
         self.base = [(words_of(phrase), label) for phrase, label in base]
         self.labels = [label for label, _ in templates]
         self.templates = [words_of(text) for _, text in templates]
+        self.telling = [[(len(words_of(text[: m.start()])), len(words_of(text[: m.end()])) - 1) for m in re.finditer(r"\{.*?\}", text)] for _, text in templates]
         self.automaton = Automaton(self.templates)
         self.known = {word: 1 for words in self.templates for word in words}
         self.heads: dict[bytes, list] = {}
@@ -127,30 +129,39 @@ class Scanner:
             self.heads.setdefault(words[-1], []).append((words, label))
 
     def spans(self, words: list[bytes], flags: bytes) -> list[tuple[int, int, int, int]]:
-        """(template, first word, last word, covered words) of each template's best chain."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # per template: place in text, place in template, first word, covered
+        """(template, first word, last word, covered words) of the chains that are finds, by first word."""
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        open_: dict[int, list[tuple[int, int, int, int, int]]] = {}  # per template: place in text, place in template, first word, covered, telling phrases
         at = flags.find(b"\x01" * LEAST)
         while at >= 0:
             end = flags.find(b"\x00", at)
             end = len(words) if end < 0 else end
-            for last, length, state in self.automaton.matches(words, at, end):
-                for number, place in self.automaton.ends[state]:
-                    n = len(self.templates[number])
-                    start, begin = last - length + 1, place - length + 1
-                    chains = open_.setdefault(number, [])
-                    # chains that are too far behind to be gone on with are closed
-                    chains[:] = [c for c in chains if start - c[0] <= GAP + 1][-4 * n :]
-                    joins = [c for c in chains if c[1] < place and c[0] < last and begin - c[1] <= GAP + 1 and abs((place - c[1]) - (last - c[0])) <= GAP]
-                    grown = max(((c[3] + min(length, place - c[1], last - c[0]), -c[2]) for c in joins), default=(length, -start))
-                    if grown[0] < length:
-                        grown = (length, -start)
-                    chain = (last, place, -grown[1], grown[0])
-                    chains.append(chain)
-                    if number not in best or chain[3] > best[number][3]:
-                        best[number] = (number, chain[2], chain[0], chain[3])
+            for number, last, place, length, low in self.automaton.matches(words, at, end):
+                start, begin, telling = last - length + 1, place - length + 1, self.telling[number]
+                has = sum(1 << k for k, (a, b) in enumerate(telling) if begin <= a and b <= place)
+                chains = [c for c in open_.get(number, ()) if low - c[0] <= GAP + 1]  # the others can't be gone on with
+                best = (length, has.bit_count(), -start, has)
+                for c in chains:
+                    if c[1] < place and c[0] < last and begin - c[1] <= GAP + 1 and abs((place - c[1]) - (last - c[0])) <= GAP:
+                        both = c[4] | has
+                        best = max(best, (c[3] + min(length, place - c[1], last - c[0]), both.bit_count(), -c[2], both))
+                covered, n_told, first, told = best
+                chains.append((last, place, -first, covered, told))
+                open_[number] = chains
+                if n_told == len(telling) and covered >= COVER * len(self.templates[number]):
+                    held, span = found.setdefault(number, []), (number, -first, last, covered)
+                    if not held or held[-1][2] < span[1]:
+                        held.append(span)
+                    elif covered > held[-1][3]:
+                        held[-1] = span
             at = flags.find(b"\x01" * LEAST, end)
-        return [best[k] for k in sorted(best)]
+        kept: list[tuple[int, int, int, int]] = []
+        for span in sorted((s for held in found.values() for s in held), key=lambda s: (-s[3], s[1], s[0])):
+            label, half = self.labels[span[0]], (span[2] - span[1] + 1) / 2
+            overlaps = [k for k in kept if min(k[2], span[2]) - max(k[1], span[1]) + 1 >= half]
+            if all(self.labels[k[0]] == label and k[0] != span[0] for k in overlaps):
+                kept.append(span)
+        return sorted(kept, key=lambda s: (s[1], s[0]))
 
     def scan(self, text: str) -> dict:
         words = words_of(text)
@@ -169,8 +180,8 @@ class Scanner:
                             labels.add(label)
             except ValueError:
                 pass
-        spans = [(self.labels[n], a, b, covered / len(self.templates[n])) for n, a, b, covered in self.spans(words, flags)]
-        kept = [s for s in spans if s[3] >= COVER]
+        spans = self.spans(words, flags)
+        kept = [(self.labels[n], a, b, covered / len(self.templates[n])) for n, a, b, covered in spans]
         return {
             "n_words": len(words),
             "n_base": len(hits),
@@ -178,7 +189,7 @@ class Scanner:
             "last_word": max(hits) if hits else None,
             "base_labels": sorted(labels),
             "labels": sorted(labels | {s[0] for s in kept}),
-            "score": max((s[3] for s in kept), default=0.0),
+            "score": max((covered / (len(self.templates[n]) + 1) for n, _, _, covered in spans), default=0.0),
             "spans": kept,
         }
 
