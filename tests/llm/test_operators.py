@@ -330,6 +330,27 @@ def test_mixing_edges(spark, edge):
     assert [r["taken"] for r in mixing.mix(blank).collect()] == [0, 0]
 
 
+def test_mixed_rows_are_those_of_the_mix(spark, docs):
+    from collections import Counter
+
+    ids = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 6).when(F.col("doc_id") % 3 == 1, F.col("doc_id"))
+    rows = docs.withColumn("doc_id", ids).union(docs.limit(20).withColumn("doc_id", F.lit(3).cast("long"))).union(docs.filter("doc_id = 8")).union(docs.filter("doc_id = 8"))
+    rows = rows.withColumn("copies", F.lit("mine"))
+    found = mixing.mixed(rows)
+    assert found.columns == [c for c in rows.columns if c != "copies"] + ["copies"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 0, plan  # texts stay where they are
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    kept = Counter((r["doc_id"], r["source"], words(r["text"]), r["copies"]) for r in found.collect())
+    assert kept == Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixing.mix(rows).collect() if r["copies"])
+
+
+def test_many_sources_are_mixed_by_shuffles(spark, docs, monkeypatch):
+    whole = rows_of(mixing.digest(docs))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    assert rows_of(mixing.digest(docs)) == whole
+
+
 # 5
 
 
