@@ -7,18 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontaminate, fingerprint, language, licenses, mixing, pii, secrets, simhash, tokens, url_filter
-from weft.llm.common import fresh_path, table
+from weft.llm.common import cut, fresh_path, remove, table
 
 DEFAULT_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    """A cold run: the cache is new, so every distinct text is encoded."""
+    """A cold run: the cache is new, so every distinct text is encoded. Its folder goes once the counts are kept."""
     if model_path is None:
         import public_tokenizers
 
         model_path = public_tokenizers.path(DEFAULT_TOKENIZER)
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), str(model_path), fresh_path(spark, "token-cache"))
+    cache = fresh_path(spark, "token-cache")
+    found = cut(tokens.count_tokens(table(spark, sf_dir, "documents"), str(model_path), cache))
+    remove(spark, cache)
+    return found
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

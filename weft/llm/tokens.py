@@ -5,7 +5,10 @@ version. Counts are kept in a table under both. A run makes the texts distinct b
 digests that the cache has, encodes the rest once each, appends their counts to the cache, and joins
 all rows to it. Content is normalised only as far as no count can change: null becomes empty.
 
-* Texts are made distinct before anything else, and map tasks combine copies first, so a text that a
+* Digests, lengths and ids alone are read first, and the distinct digests that the cache lacks are found among
+  them: narrow rows. Only texts of misses are shuffled. If misses are few (by count) they are sent to all tasks,
+  which drop other texts where they read them; with no miss no text is shuffled, nor read a second time.
+* Misses are made distinct before they are encoded, and map tasks combine copies first, so a text that a
   third of all rows share is one row a map task in the shuffle.
 * The last join has narrow rows (doc_id, digest, length); a hot digest's side is split by adaptive
   execution's skew join, and the other side has one row a digest.
@@ -17,7 +20,8 @@ character, and none has a line feed, no merge can cross the place before a space
 of a line feed. So a text's count is the sum over its words, which workers remember. Whether the
 vocabulary is of that kind is tested on its pieces; if not, whole texts are encoded.
 
-Rows that repeat are each returned. Extra columns are ignored.
+Rows that repeat, share an id or have none are each returned. Empty texts have 0 tokens. Very long texts are
+encoded whole, word by word. An empty table gives an empty one, and adds nothing to the cache. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm.common import BROADCAST_ROWS, cut
+
 LIMIT = 4096
 REMEMBERED = 400_000
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
@@ -153,10 +159,13 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, id_col: str
     spark = docs.sparkSession
     kept = f"{cache_path}/tokenizer={tokenizer_digest(model_path)[:32]}"
     content = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), content.alias("text"))
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    distinct = own.select(digest, "text").groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(read_cache(spark, kept).select("digest"), "digest", "left_anti")
-    misses.mapInArrow(_encoder(model_path), CACHE_SCHEMA).write.mode("append").parquet(kept)
-    rows = own.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
+    digest = F.unhex(F.sha2(content, 256)).alias("digest")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest, F.octet_length(content).cast("long").alias("n_bytes")))
+    misses = cut(rows.select("digest").distinct().join(read_cache(spark, kept).select("digest"), "digest", "left_anti"))
+    n_misses = misses.limit(BROADCAST_ROWS + 1).count()
+    if n_misses:
+        texts, combined = docs.select(digest, content.alias("text")), lambda rows: rows.groupBy("digest").agg(F.first("text").alias("text"))
+        # few misses: other texts are dropped at the scan; many: texts are combined, and the exchange serves the join as well
+        fresh = combined(texts.join(F.broadcast(misses), "digest", "left_semi")) if n_misses <= BROADCAST_ROWS else combined(texts).join(misses, "digest", "left_semi")
+        fresh.mapInArrow(_encoder(model_path), CACHE_SCHEMA).write.mode("append").parquet(kept)
     return rows.join(read_cache(spark, kept), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
