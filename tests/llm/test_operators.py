@@ -91,6 +91,24 @@ def test_a_second_run_encodes_only_what_is_new(spark, docs, tmp_path):
     assert tokens.count_tokens(empty(spark), path, cache).count() == 0
 
 
+def test_few_and_many_misses_give_the_same(spark, docs, tmp_path, monkeypatch):
+    path = model_path()
+    few = rows_of(tokens.count_tokens(docs, path, f"file://{tmp_path}/a"))
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", 3)
+    assert rows_of(tokens.count_tokens(docs, path, f"file://{tmp_path}/b")) == few
+
+
+def test_the_query_leaves_no_cache(spark):
+    import os
+
+    from weft.llm import common, queries
+
+    model_path()
+    assert queries.op1_token_counts(spark, "/root/testdata/sf0.001").count() == 200
+    folder = common.shared_dir(spark).removeprefix("file://") + "/weft"
+    assert not [p for p in os.listdir(folder) if p.startswith("token-cache")]
+
+
 def test_json_tokenizers(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
@@ -236,7 +254,7 @@ def test_documents_with_secrets_go(spark, edge):
 
 
 def test_fingerprints_against_brute_force(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS_A_RANGE", 23)
+    monkeypatch.setattr(fingerprint, "BYTES_A_RANGE", 20_000)
     ids = sorted(texts)
     found = {r["doc_id"]: r for r in fingerprint.fingerprint_pairs(docs.repartition(5)).collect()}
     assert sorted(found) == ids
@@ -252,6 +270,22 @@ def test_fingerprints_against_brute_force(spark, docs, texts, monkeypatch):
     assert sum(r["near_edited"] > r["near_next"] for r in found.values()) > 0.9 * len(found)
 
 
+def test_a_third_of_rows_on_one_id_and_equal_rows(spark, docs, monkeypatch):
+    """Ranges split rows that share an id; the results are those of the order of (doc_id, text)."""
+    monkeypatch.setattr(fingerprint, "BYTES_A_RANGE", 20_000)
+    some = docs.select(F.when(F.col("doc_id") % 3 == 0, F.lit(50)).when(F.col("doc_id") % 3 == 1, F.col("doc_id")).alias("doc_id"), "text")
+    rows = some.union(some.filter("doc_id = 1")).union(some.filter("doc_id = 1"))
+    own = sorted(((i is not None, i or 0), t or "") for i, t in rows.collect())
+    want = []
+    for k, ((known, doc), text) in enumerate(own):
+        after = own[(k + 1) % len(own)][1]
+        want.append((doc if known else None, len(text), hashlib.sha256(fingerprint.edited(text, after).encode()).hexdigest()))
+    assert rows_of(fingerprint.fingerprint_pairs(rows.repartition(3)).select("doc_id", "n_chars", "edited_sha256")) == sorted(want, key=str)
+    narrow = rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 32).alias("prefix"), F.length("text").cast("long").alias("bytes"))
+    edges = fingerprint._edges(narrow, 12)
+    assert sum(e[1] == 50 for e in edges) >= 2 and sum(not e[0] for e in edges) >= 2
+
+
 def slow_digest(data):
     counts = [0] * fingerprint.BUCKETS
     for at in range(len(data) - 4):

@@ -6,13 +6,17 @@
 * Difference: the bounded sum, over buckets, of the distance of their two bits (a distance of 3 counts
   as 6), plus bounded differences of length and ratios. Likeness: 1 - difference / its bound; 1.0 only
   if the digests are equal. Texts without triplets have no body; they are like each other by length.
-* The next document is found without one task that sees all ids: ids are split into ranges by
-  approximate quantiles, each range is sorted by itself, and the first document of the next range
-  that isn't empty is sent along as a sentinel.
-
-Null texts count as empty. Rows are in order of (doc_id, text), null ids first; rows that share an id
-are next to each other, and rows that are equal in both are interchangeable. The last row's next is
-the first. A single row is its own next. An empty table gives no rows. Extra columns are ignored.
+* The next document is found without one task that sees all ids: rows are split into ranges of (id, first
+  ``PREFIX`` characters) of equal bytes, each range is a partition that is sorted by itself, and the first row of
+  the next range is sent along as a sentinel. Ranges begin at keys of rows, drawn from the distinct keys by
+  their hashes, so that row is known without another pass: it is the one whose key is the range's edge. The
+  driver holds one edge a range of ``BYTES_A_RANGE``, and ``KEYS_A_RANGE`` keys a range (at most ``MOST_KEYS``) to
+  choose from, as Spark's own range sort does.
+
+Null texts count as empty. Rows are in order of (doc_id, text), null ids first; rows that share an id are next to
+each other, and many of them are split by their texts. Rows that are equal in both are interchangeable; they share
+a range, where each costs a comparison. The last row's next is the first. A single row is its own next. Very long
+texts are hashed in pieces. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import cut
+
 BUCKETS = 256
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 #: Odd multipliers and salts of the triplets' hashes.
 MIX = ((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), (0x27D4EB2F, 0x165667B1, 0xD3A2646D), (0xFD7046C5, 0xB55A4F09, 0x8DA6B343), (0xD8163841, 0xCB1AB31F, 0x9F2E5B4D), (0xA3D95FA9, 0x7FEB352D, 0x846CA68B), (0x6C8E9CF5, 0xE7037ED1, 0xAB5351F7))
 LENGTH_BOUND, RATIO_BOUND = 48, 24
 BOUND = 6 * BUCKETS + LENGTH_BOUND + 2 * RATIO_BOUND
-ROWS_A_RANGE = 20_000
+BYTES_A_RANGE = 128 << 20
+KEYS_A_RANGE, MOST_KEYS = 60, 1_000_000
+PREFIX = 32
 
 
 def digest_of(data: bytes) -> str:
@@ -105,54 +113,62 @@ def _rows(batches):
         for part, sentinel, doc, text in zip(parts, sentinels, ids, texts):
             if held is None and sentinel:
                 continue
-            own = digest_of(text.encode())
+            own = held[3] if held is not None and held[2] == text else digest_of(text.encode())
             if held is not None and held[0] == part:
                 _, was, before, digest = held
-                new = edited(before, text)
-                raw = new.encode()
+                raw = edited(before, text).encode()
                 changed = digest_of(raw)
                 out.append((was, len(before), hashlib.sha256(raw).hexdigest(), digest, changed, likeness(digest, changed), likeness(digest, own)))
             held = None if sentinel else (part, doc, text, own)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 7, (kind, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()))], names=names)
 
 
-def _tagged(rows: DataFrame, edges: list, sends: list, kind: str) -> DataFrame:
-    """``rows`` with their range ``part``; ids in ``sends`` once more, as sentinels of another range. Both lists have an entry a range."""
-    names = rows.columns
-
-    def run(batches):
-        from bisect import bisect_right
-
-        other: dict = {}
-        for doc, part in sends:
-            other.setdefault(doc, []).append(part)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            parts = [0 if i is None else bisect_right(edges, i) for i in ids]
-            again = [(row, part) for row, i in enumerate(ids) if i in other for part in other[i]]
-            takes = pa.array([*range(len(ids)), *(row for row, _ in again)], pa.int64())
-            flags = [False] * len(ids) + [True] * len(again)
-            columns = [pa.array(parts + [part for _, part in again], pa.int32()), pa.array(flags), *(batch.column(c).take(takes) for c in range(len(names)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "sentinel", *names])
-
-    return rows.mapInArrow(run, f"part int, sentinel boolean, doc_id {kind}" + ", text string" * (len(names) > 1))
+def _edges(own: DataFrame, n_parts: int) -> list[tuple]:
+    """The least keys of at most ``n_parts`` ranges of about equal bytes: (id is known, id, prefix). The first is the least key of all."""
+    keys = cut(own.groupBy("doc_id", "prefix").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "prefix")
+    all_keys = keys.agg(F.count("*").alias("n"), F.min(key).alias("least")).first()
+    fraction = min(1.0, min(KEYS_A_RANGE * n_parts, MOST_KEYS) / all_keys["n"])
+    some = keys.filter(F.pmod(F.xxhash64("doc_id", "prefix"), F.lit(1 << 30)) < F.lit(math.ceil(fraction * (1 << 30)))).select("doc_id", "prefix", "bytes", "n").collect()
+    drawn = sorted((r["doc_id"] is not None, r["doc_id"], r["prefix"], r["bytes"], r["n"]) for r in some) if n_parts > 1 else []
+    share, seen = (sum(r[3] for r in drawn) or 1) / n_parts, 0
+    edges = [tuple(all_keys["least"])]
+    for k, (known, doc, prefix, size, n) in enumerate(drawn):
+        # a key of several rows would send all of them along
+        if seen >= share and n == 1 and (known, doc, prefix) != edges[0]:
+            edges.append((known, doc, prefix))
+            seen = 0
+        seen += size
+    return edges
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses; see the module's head."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    n_rows = own.count()
-    if not n_rows:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.substring(text, 1, PREFIX).alias("prefix"), (F.octet_length(text) + 1).cast("long").alias("bytes"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    size = narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if not size["n"]:
         return docs.sparkSession.createDataFrame([], SCHEMA.format(id=kind))
-    n_parts = max(1, math.ceil(n_rows / ROWS_A_RANGE))
-    edges = []
-    if n_parts > 1:
-        ends = [i / n_parts for i in range(1, n_parts)]
-        edges = sorted(set(own.agg(F.percentile_approx("doc_id", ends, F.lit(10 * n_parts))).first()[0] or []))
-    # ids of the ranges' first rows: one a range
-    starts = _tagged(own.select("doc_id"), edges, [], kind).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect()
-    firsts = sorted((r["part"], r["first"]["doc_id"]) for r in starts)
-    sent = _tagged(own, edges, [(doc, firsts[i - 1][0]) for i, (_, doc) in enumerate(firsts)], kind)
-    ordered = sent.repartition(n_parts, "part").sortWithinPartitions("part", "sentinel", "doc_id", "text")
+    wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["bytes"] / BYTES_A_RANGE))
+    edges = _edges(narrow, min(wanted, size["n"]))
+    n_parts = len(edges)
+
+    @F.arrow_udf(returnType="struct<part:int,also:int>")
+    def place(ids: pa.Array, prefixes: pa.Array) -> pa.Array:
+        from bisect import bisect_right
+
+        parts, also = [], []
+        for doc, prefix in zip(ids.to_pylist(), prefixes.to_pylist()):
+            key = (doc is not None, doc, prefix)
+            part = bisect_right(edges, key) - 1
+            parts.append(part)
+            also.append((part - 1) % n_parts if edges[part] == key else None)
+        return pa.StructArray.from_arrays([pa.array(parts, pa.int32()), pa.array(also, pa.int32())], ["part", "also"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    placed = own.withColumn("place", place("doc_id", F.substring("text", 1, PREFIX)))
+    one = lambda part, sentinel: F.struct(F.col(part).alias("part"), F.lit(sentinel).alias("sentinel"))
+    sent = placed.select("doc_id", "text", F.explode(F.when(F.col("place.also").isNull(), F.array(one("place.part", False))).otherwise(F.array(one("place.part", False), one("place.also", True)))).alias("at"))
+    ordered = sent.select("at.part", "at.sentinel", "doc_id", "text").repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "sentinel", "doc_id", "text")
     return ordered.mapInArrow(_rows, SCHEMA.format(id=kind))
