@@ -11,7 +11,8 @@
   billions of them.
 * Only distinct fingerprints are joined: a group of copies, however large, is one row there.
 * A bucket with more than ``HOT`` distinct fingerprints is split again: its members differ only
-  in the other blocks, and close ones agree on at least one of ``distance + 1`` parts of those.
+  in the other blocks, and close ones agree on at least one of ``distance + 1`` parts of those. A part's
+  bucket that is still as large is split in the same way by the bits that are left, and so on, ``LEVELS`` times: of 33 bits 14 are left then, so no bucket holds more than 16,384 fingerprints.
 * Components: big-star and small-star steps over links between distinct fingerprints, with a
   checkpoint after each round.
 
@@ -21,8 +22,9 @@ close as above. Pairs are met by MinHash: ``BANDS`` bands of ``ROWS`` least hash
 least one with probability 1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. Each pair that is met is verified with
 its whole sets. Only distinct texts are met, and only those whose fingerprints don't link them.
 
-Null texts count as empty. Rows that share a doc_id each keep their own row. A null doc_id is
-never a component's id unless its component has no other. Extra columns are ignored.
+Null texts count as empty; very long ones are hashed whole. Rows that share a doc_id each keep their own row. A
+null doc_id is never a component's id unless its component has no other. Ids may be of any type that has an order.
+An empty table gives an empty one. Extra columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import bounded, cut
 
-HOT = 512
+HOT, LEVELS = 512, 3
 SETS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
 
@@ -84,8 +86,8 @@ def _BITS(np, cache: list = []):  # noqa: B006, N802
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) for each row."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """(doc_id, fp bigint) for each row; ids keep their type."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -94,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array([fingerprint_of(t.as_py(), shingle) for t in texts], pa.int64())], names=["doc_id", "fp"]
             )
 
-    return narrow.mapInArrow(run, "doc_id bigint, fp bigint")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def _blocks(distance: int, keep: int) -> list[int]:
@@ -109,38 +111,41 @@ def _signed(x: int) -> int:
 
 
 def block_keys(fp: Column, distance: int = 3, keep: int = 3) -> Column:
-    """array<struct<tab int, key bigint>>: the fingerprint under each choice of blocks."""
-    masks = _blocks(distance, keep)
-    keys = [sum(c) for c in combinations(masks, keep)]
-    return F.array(*[F.struct(F.lit(i).alias("tab"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(keys)])
+    """array<struct<mask bigint, key bigint>>: the fingerprint under each choice of blocks."""
+    keys = [_signed(sum(c)) for c in combinations(_blocks(distance, keep), keep)]
+    return F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for m in keys])
 
 
-def _rest_parts(tab: int, distance: int, keep: int) -> list[int]:
-    """For a table, ``distance + 1`` masks that part the bits outside its key."""
-    masks = _blocks(distance, keep)
-    key = sum(list(combinations(masks, keep))[tab])
-    bits = [b for b in range(64) if not key >> b & 1]
+def _wider(mask: int, distance: int) -> list[int]:
+    """``mask`` with each of ``distance + 1`` parts of the bits outside of it."""
+    bits = [b for b in range(64) if not mask >> b & 1]
     n = distance + 1
-    return [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+    return [mask | sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
 
 
 def close_pairs(distinct: DataFrame, distance: int = 3, keep: int = 3) -> DataFrame:
     """(a, b): pairs a < b of the distinct fingerprints in column fp that differ in at most ``distance`` bits."""
-    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, keep)).alias("k")).select("k.tab", "k.key", "fp")
-    buckets = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    n_tabs = len(list(combinations(range(distance + keep), keep)))
-    parts = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in _rest_parts(t, distance, keep)]) for t in range(n_tabs)])
-    fp = F.col("fp")
-    shared = keyed.join(buckets, ["tab", "key"]).select(
-        "tab", "key", "fp",
-        F.explode(
-            F.when(F.col("n") <= HOT, F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))))
-            .otherwise(F.transform(F.get(parts, F.col("tab")), lambda m, i: F.struct(i.alias("part"), fp.bitwiseAND(m).alias("sub"))))
-        ).alias("s"),
-    ).select("tab", "key", "s.part", "s.sub", "fp")
-    a, b = shared.withColumnRenamed("fp", "a"), shared.withColumnRenamed("fp", "b")
-    met = a.join(b, ["tab", "key", "part", "sub"])
-    return met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
+    shared = distinct.select("fp", F.explode(block_keys(F.col("fp"), distance, keep)).alias("k")).select("k.mask", "k.key", "fp")
+    masks, met = [sum(c) for c in combinations(_blocks(distance, keep), keep)], []
+    for level in range(LEVELS + 1):
+        buckets = cut(shared.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+        held = shared.join(buckets, ["mask", "key"])
+        if level == LEVELS or buckets.filter(F.col("n") > HOT).isEmpty():
+            met.append(held.select("mask", "key", "fp"))
+            break
+        met.append(held.filter(F.col("n") <= HOT).select("mask", "key", "fp"))
+        # one row a mask, some twenty times (distance + 1) ** level
+        rows = [(_signed(m), _signed(w)) for m in masks for w in _wider(m, distance)]
+        wider = distinct.sparkSession.createDataFrame(rows, "mask bigint, wide bigint").distinct()
+        split = held.filter(F.col("n") > HOT).join(F.broadcast(wider), "mask")
+        shared = cut(split.select(F.col("wide").alias("mask"), F.col("fp").bitwiseAND(F.col("wide")).alias("key"), "fp").distinct())
+        masks = sorted({w for m in masks for w in _wider(m, distance)})
+    pairs = None
+    for rows in met:
+        a, b = rows.withColumnRenamed("fp", "a"), rows.withColumnRenamed("fp", "b")
+        close = a.join(b, ["mask", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
+        pairs = close if pairs is None else pairs.union(close)
+    return pairs.distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
