@@ -201,6 +201,13 @@ def test_native_plans(docs):
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
+def test_taken_names_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a@b.com", "mine")], "doc_id bigint, text string, pii string")
+    with pytest.raises(ValueError):
+        pii.find_personal_data(rows)
+    assert pii.find_personal_data(rows, out="found").first()["pii"] == "mine"
+
+
 def test_masking(spark):
     rows = spark.createDataFrame([(1, "to a@b.com or +1 555 555 0100."), (2, None), (3, "none")], "doc_id bigint, text string")
     masked = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(rows).collect()}
@@ -419,6 +426,14 @@ def test_url_filter_edges(spark):
     assert [r["rule"] for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()] == ["com/"] * 2
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
     assert [r["verdict"] for r in url_filter.filter_urls(pages, url_filter.rule_table(spark).limit(0), default="block").collect()] == ["block"] * 2
+    clash = url_filter.filter_urls(pages, url_filter.rule_table(spark)).first()
+    assert clash["host"] == "h" and clash["url_host"] == "a.com" and clash["path"] == "/x"
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages.withColumn("url_host", F.lit(1)), url_filter.rule_table(spark))
+    far = "/en/" + "x/" * 500_000
+    long = spark.createDataFrame([(1, f"http://sub.example.com{far}?q"), (2, ""), (3, None)], "page_id bigint, url string")
+    found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(long, url_filter.rule_table(spark)).collect()}
+    assert found == {1: ("sub.example.com", far, "example.com/en/", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow")}
     odd = [("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("com", "", "allow")]
     assert [r["verdict"] for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, odd)).collect()] == ["block"] * 2
 
@@ -769,6 +784,12 @@ def test_long_chains_are_one_component(spark):
     assert {roots[n] for n in range(1, 300)} == {0} and roots[901] == 900
 
 
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "x")], "doc_id string, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    assert found == {"a": "a", "b": "a", None: None}
+
+
 def test_near_duplicate_edges(spark, edge):
     found = simhash.near_duplicates(edge).collect()
     assert len(found) == len(EDGE)

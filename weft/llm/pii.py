@@ -8,8 +8,9 @@ goes on behind it. Kinds may overlap each other.
 
 Every pattern takes linear time: runs are possessive and may begin only where a run begins.
 
-Null texts count as empty and give empty span lists. Rows are independent of each other, so
-repeated rows and ties need no rule, and other columns pass through or are ignored.
+Null and empty texts give empty span lists. Rows are independent of each other, so repeated rows and
+ties need no rule. An empty table gives an empty one. Other columns pass through or are ignored; a column
+that has the name asked for (``out``) is refused with an error, never overwritten.
 """
 
 from __future__ import annotations
@@ -119,7 +120,9 @@ def personal_data(text: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with the array column ``out``."""
+    """``docs`` with the array column ``out``, a name that ``docs`` doesn't have."""
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the column {out} is there already; name another one")
     return docs.withColumn(out, personal_data(F.coalesce(F.col(text_col), F.lit(""))))
 
 

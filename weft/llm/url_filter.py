@@ -11,7 +11,10 @@
 
 Each distinct URL is judged once. Few rules are sent to all tasks, if their size is under a bound;
 more are joined by shuffles, with the URLs' hot expressions spread over salted copies of the rules.
-A URL without a rule gets the default verdict, ``allow``. Repeated pages keep their rows.
+A URL without a rule gets the default verdict, ``allow``. Null and empty URLs have no host and path, and the
+default verdict. Very long URLs are judged whole. Repeated pages keep their rows. An empty table gives an empty
+one. Other columns are kept; where pages have a column named like a new one, it stays as it is, and the new
+one is named ``url_host``, ``url_path``, ``url_rule`` or ``url_verdict`` (an error if that is there too).
 """
 
 from __future__ import annotations
@@ -74,10 +77,13 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule and verdict."""
-    clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
-    judged = judge(pages, rules, url_col, default).withColumnRenamed("url", "__url")
-    rows = pages.drop(*clash)
+    """``pages`` with host, path, rule and verdict; see the module's head for names that clash."""
+    new, there = ["host", "path", "rule", "verdict"], {c.lower() for c in pages.columns}
+    names = [f"url_{c}" if c in there else c for c in new]
+    if there & {*names}:
+        raise ValueError(f"columns {sorted(there & {*names})} are there already")
+    judged = judge(pages, rules, url_col, default).toDF("__url", *names)
+    rows = pages
     # judged has one row a URL; a URL may repeat in many pages, and adaptive execution splits that side
     return rows.join(judged, rows[url_col].eqNullSafe(judged["__url"]), "left").drop("__url")
 
