@@ -9,6 +9,11 @@ again as the next stage's docs. All but the last return the columns of ``documen
 4. secrets: documents that hold a secret go; those whose only finding is a hexadecimal run without both digits
    and letters, which op9_secrets reports, stay.
 5. mixing: sources are mixed to target weights; the result has ``copies``, how often a row is taken.
+
+Null texts count as empty, which stage 1 drops, as it does texts without letters; null ids, sources and languages
+are values like others. Rows that share an id are told apart by their texts, and equal rows are near duplicates. Of
+ties in a group of near duplicates the least text digest stays. Very long texts are read whole. Extra columns are
+kept, but for ``copies``, which gives way to the last stage's. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontaminate, language, mixing, secrets, simhash
-from weft.llm.common import fresh_path, table
+from weft.llm.common import fresh_path, remove, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +54,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes once the next one is written; the last one stays, as the result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
