@@ -46,3 +46,31 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_nulls_repeats_ties_and_extra_columns(spark):
+    text = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en' AND length(text) > 300").orderBy("doc_id").limit(40).collect()
+    texts = [r["text"] for r in text]
+    rows = [(None if i % 5 == 0 else i // 2, t, "en" if i % 3 else None, f"s{i % 2}" if i % 4 else None, i, -1) for i, t in enumerate(texts)]
+    rows += [rows[1], rows[1], (None, None, None, None, 0, 0), (3, "", "en", "s1", 0, 0), (None, texts[7] + " " + "word by word " * 100_000, "en", "s1", 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int, copies int")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), stage(spark, before, DATA).schema)
+        assert sorted(docs.columns) == sorted(before.columns), name
+        assert docs.count() > 0, name
+    found = docs.collect()
+    assert all(r["text"] and r["copies"] in (1, 2) for r in found)
+    assert len({(r["doc_id"], r["text"]) for r in found}) == len(found)
+
+
+def test_only_the_last_table_stays(spark):
+    import os
+
+    from weft.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file://") + "/weft"
+    held = lambda: {p for p in (os.listdir(folder) if os.path.isdir(folder) else []) if p.startswith("pipeline-")}
+    before = held()
+    corpus_pipeline.run(spark, DATA)
+    assert [p.rpartition("-")[0] for p in held() - before] == ["pipeline-mixing"]

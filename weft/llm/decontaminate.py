@@ -222,7 +222,7 @@ class Index:
                 known.append([start, end, cosine])
         for place in sorted(regions):
             item, own, answer = self.items[place]
-            best = None
+            best, longest = None, 0
             for start, end, cosine in regions[place]:
                 for a in range(start, end, max(1, len(own))):
                     piece = words[a : min(end, a + 2 * len(own) + 4)]
@@ -233,9 +233,9 @@ class Index:
                     run = common_run(own, piece)
                     held = common_subsequence(answer, piece) / len(answer)
                     if (shared >= SHARE and held >= ANSWER) or shared >= SURE or run >= RUN or (shared >= LEAST and held >= ANSWER and self.weight(own, piece) >= SURE):
-                        best = max(best or (), (shared, held, run, cosine))
+                        best, longest = max(best or (), (shared, held, cosine)), max(longest, run)
             if best:
-                yield item, round(best[3], 4), round(best[0], 4), round(best[1], 4), best[2]
+                yield item, round(best[2], 4), round(best[0], 4), round(best[1], 4), longest
 
 
 SCHEMA = "doc_id {id}, item_id {item}, cosine double, lcs double, answer double, run bigint"
@@ -321,7 +321,7 @@ def _grouped(items: DataFrame) -> tuple[DataFrame, int]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, run): a row for each document and item that it holds."""
+    """(doc_id, item_id, cosine, lcs, answer, run): a row for each document and item that it holds; run is the longest that they share there."""
     import numpy as np
 
     spark = docs.sparkSession
@@ -371,3 +371,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without the documents that hold an item; rows that share such a document's id go too."""
     gone = cut(contaminated(docs, benchmark, id_col, text_col).select("doc_id").distinct())
     return without_ids(docs, gone, id_col)
+
+
+def benchmark_runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the documents with RUN words of an item in a row, or all words of a shorter one."""
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z\\x{80}-\\x{10FFFF}]+"), F.lit(0)))
+    lengths = benchmark.groupBy("item_id").agg(F.max(n).alias("n"))
+    return contaminated(docs, benchmark).join(lengths, "item_id").filter(F.col("run") >= F.least(F.lit(RUN), "n")).select("doc_id", "item_id").distinct()
+
+
+RUNS_ORACLE = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+k AS (SELECT DISTINCT least({RUN}, len(w)) AS k FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, k, array_to_string(w[a:a + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM w, k)),
+h AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS g FROM (SELECT item_id, w, least({RUN}, len(w)) AS k, unnest(range(1, len(w) - least({RUN}, len(w)) + 2)) AS a FROM i WHERE len(w) > 0))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (k, g)
+"""

@@ -172,3 +172,15 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sent = placed.select("doc_id", "text", F.explode(F.when(F.col("place.also").isNull(), F.array(one("place.part", False))).otherwise(F.array(one("place.part", False), one("place.also", True)))).alias("at"))
     ordered = sent.select("at.part", "at.sentinel", "doc_id", "text").repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "sentinel", "doc_id", "text")
     return ordered.mapInArrow(_rows, SCHEMA.format(id=kind))
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """The part of ``fingerprint_pairs`` that SQL can express."""
+    return fingerprint_pairs(docs).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_ORACLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER o, first_value(t) OVER o) AS after FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(after, length(t) // 2)) AS edited_sha256 FROM n
+"""

@@ -60,6 +60,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3_fingerprints SQL can check."""
+    return fingerprint.edited_texts(table(spark, sf_dir, "documents"))
+
+
+def benchmark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6_decontamination SQL can check."""
+    return decontaminate.benchmark_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8_licenses SQL can check."""
+    return licenses.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_personal_data": op2_personal_data,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
+    "edited_texts": edited_texts,
+    "benchmark_runs": benchmark_runs,
+    "license_phrases": license_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "edited_texts": fingerprint.EDITED_ORACLE,
+    "benchmark_runs": decontaminate.RUNS_ORACLE,
+    "license_phrases": licenses.PHRASES_ORACLE,
 }
