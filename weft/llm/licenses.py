@@ -231,12 +231,12 @@ def phrases(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     longest = max(len(phrase.split()) for phrase, _ in BASE)
     here = lambda phrase: " AND ".join(f"w{k} = '{word}'" for k, word in enumerate(phrase.split()))
-    hits = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS at, '{label}' AS label FROM s WHERE {here(phrase)}" for phrase, label in BASE)
+    hits = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM s WHERE {here(phrase)}" for phrase, label in BASE)
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 e AS (SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM d),
 s AS (SELECT doc_id, i, w0, {", ".join(f"lead(w0, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS w{k}" for k in range(1, longest))} FROM e),
-h AS (SELECT doc_id, count(*) AS n, min(at) AS a, max(at) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ({hits}) GROUP BY doc_id)
+h AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ({hits}) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, coalesce(a, -1)::BIGINT AS first_word, coalesce(b, -1)::BIGINT AS last_word, coalesce(labels, '') AS base_labels
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id"""
 
