@@ -116,12 +116,13 @@ def cutoffs(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def _judged(rows: DataFrame, source_col: str, id_col: str, text_col: str, weights, share: float, most: int, seed: str) -> DataFrame:
     """``rows`` with __size, __source_size, __target and __copies."""
-    size, mark = size_of(text_col), mark_of(id_col, text_col, seed)
+    narrow = "__mark" in rows.columns  # sizes and marks are there already
+    size, mark = (F.col("__size"), F.col("__mark")) if narrow else (size_of(text_col), mark_of(id_col, text_col, seed))
     units = cut(rows.groupBy(F.col(source_col).cast("string").alias("source"), mark.alias("mark"), size.alias("size")).agg(F.count("*").alias("n")))
     ends = cutoffs(units, weights, share, most).toDF("__source", "__source_size", "__target", "__round", "__last")
     key = lambda source: F.concat(source.isNull().cast("string"), F.coalesce(source, F.lit("")))
     ends = ends.withColumn("__key", key(F.col("__source"))).drop("__source")
-    own = rows.withColumns({"__size": size, "__mark": mark, "__key": key(F.col(source_col).cast("string"))})
+    own = rows.withColumns({} if narrow else {"__size": size, "__mark": mark}).withColumns({"__key": key(F.col(source_col).cast("string"))})
     few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = own.join(F.broadcast(ends), "__key", "left") if few else skew_join(own, ends, ["__key"], "__mark", how="left")
     copies = F.when(F.col("__size") > 0, F.coalesce(F.col("__round") + (F.col("__mark") <= F.col("__last")).cast("int"), F.lit(0)).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -130,9 +131,10 @@ def _judged(rows: DataFrame, source_col: str, id_col: str, text_col: str, weight
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, copies."""
-    found = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "source", "doc_id", "text", weights, share, most, seed)
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("__size"), mark_of(id_col, text_col, seed).alias("__mark")))
+    found = _judged(rows, "source", "doc_id", "text", weights, share, most, seed)
     return found.select(
-        "doc_id", F.col("source").cast("string").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        "doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"),
     )
 
