@@ -374,3 +374,57 @@ def test_large_table_stays_columnar(made, spark):
     wanted = ["query_name", *schema.sided(schema.GJC_SIDE, "A"), *schema.sided(schema.GJC_SIDE, "B")]
     plan = tables.read_comparison(spark, path, columns=wanted)._jdf.queryExecution().executedPlan().toString()
     assert "n_alns_A" not in plan and "cs_A" in plan
+
+
+def test_other_file_systems(spark, made, tmp_path):
+    """Sinks and sources go through Hadoop's paths: here a file system that mounts a local folder."""
+    from weft import sinks
+    from weft.sources import files, load, tables
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.test.link./data", f"file://{tmp_path}")
+    root = files.make_folder("viewfs://test/data/deep/er")
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "query_name string, n int")
+    for name in ("x.tsv", "x.tsv.gz"):
+        for _ in range(2):  # a second run replaces the first
+            sinks.write_text(rows, f"{root}/{name}", ["query_name"])
+        assert [r.asDict() for r in tables.read_tsv(spark, f"{root}/{name}").collect()] == [{"query_name": "a", "n": "1"}, {"query_name": "b", "n": "2"}]
+    sinks.write_comparison_parquet(rows, f"{root}/x.parquet")
+    assert spark.read.parquet(f"{root}/x.parquet").count() == 2
+    sinks.write_summary([("a", 1)], f"{root}/s.tsv")
+    assert (tmp_path / "deep/er/s.tsv").read_text() == "category\tcount\na\t1\n"
+    assert sorted(p.name for p in (tmp_path / "deep/er").iterdir() if not p.name.startswith(".")) == ["s.tsv", "x.parquet", "x.tsv", "x.tsv.gz"]
+    assert not list((tmp_path / "deep/er").glob(".weft-*"))
+    (tmp_path / "y.sam").write_text("@HD\tVN:1.6\tSO:queryname\n@SQ\tSN:c\tLN:9\n")
+    assert load.detect("viewfs://test/data/y.sam") == "sam" and load.sort_order("viewfs://test/data/y.sam") == "queryname"
+    sinks.remove(f"{root}/x.parquet")
+    assert not (tmp_path / "deep/er/x.parquet").exists()
+
+
+def test_row_groups_are_bounded(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from weft import sinks
+
+    monkeypatch.setattr(sinks, "ROW_GROUP", 1000)
+    sinks.write_comparison_parquet(spark.range(2500).selectExpr("cast(id as string) as query_name").coalesce(1), str(tmp_path / "t.parquet"))
+    (part,) = (tmp_path / "t.parquet").glob("part-*")
+    assert [pq.ParquetFile(part).metadata.row_group(i).num_rows for i in range(3)] == [1000, 1000, 500]
+
+
+def test_rejected_records_are_counted_and_warned_of(spark, tmp_path, caplog):
+    from weft.sources import load
+
+    good = "r1\t0\tc\t1\t60\t4M\t*\t0\t0\tACGT\t*\tcs:Z::4"
+    write(tmp_path / "x.sam", ["@SQ\tSN:c\tLN:900", "@SQ\tLN:100\tSN:c", good, good.replace("r1\t0", "r2\tx"), good.replace("\tc\t1", "\td\t1"), good.replace("\t1\t60", "\t99\t60")])
+    with caplog.at_level("WARNING", logger="weft"):
+        assert load.n_rejected(spark, str(tmp_path / "x.sam")) == 3
+    assert "3 records are left out" in caplog.text and "ends behind its contig" in caplog.text
+    with load.staged(spark, str(tmp_path / "x.sam"), "primary", str(tmp_path)) as (rows, names):
+        assert [r["target_len"] for r in rows.collect()] == [100] and names.count() == 1
+    assert not list(tmp_path.glob(".weft-*"))
+    write(tmp_path / "x.paf", ["bad line", "# comment"])
+    caplog.clear()
+    with caplog.at_level("WARNING", logger="weft"):
+        assert load.n_rejected(spark, str(tmp_path / "x.paf")) == 1
+    assert "malformed" in caplog.text

@@ -16,6 +16,7 @@ from weft.operators import collapse, features, pair, regions
 from weft.operators import compare as P
 from weft.operators import junctions as J
 from weft.sources import load, sam, tables
+from weft.sources.files import make_folder
 
 log = logging.getLogger("weft")
 c = F.col
@@ -60,10 +61,9 @@ def pairs_of(frame: DataFrame, labels: tuple[str, str]) -> list[tuple[str, objec
     return [("label_A", labels[0]), ("label_B", labels[1]), *[(r["category"], r["count"]) for r in frame.collect()]]
 
 
-def _folder(outdir: str) -> Path:
-    made = Path(outdir)
-    made.mkdir(parents=True, exist_ok=True)
-    return made
+def _beside(path: str | None) -> str:
+    """The folder of a file; that of the run for standard output."""
+    return path.rpartition("/")[0] or ("/" if path.startswith("/") else ".") if path and path != "-" else "."
 
 
 def _same_order(a: DataFrame, b: DataFrame) -> None:
@@ -110,7 +110,7 @@ def compare(
         raise ValueError("compare reads its inputs more than once, so not from standard input")
     if form not in ("tsv", "parquet", "both"):
         raise ValueError("form is tsv, parquet or both")
-    out = _folder(outdir)
+    out = make_folder(outdir)
     kinds = [load.detect(p) for p in (aln_a, aln_b)]
     if records and set(kinds) == {"paf"}:
         log.warning("the choice of SAM records has no effect: both inputs are PAF")
@@ -118,20 +118,25 @@ def compare(
     for path, kind in zip((aln_a, aln_b), kinds):
         if presorted and kind != "paf" and load.sort_order(path) == "coordinate":
             raise ValueError(f"presorted: {path} is sorted by coordinate; sort both by name, or drop presorted")
-    a, b = (load.load_alignments(spark, p, records, in_order=presorted) for p in (aln_a, aln_b))
-    for path, kind in zip((aln_a, aln_b), kinds):
-        if bad := load.n_rejected(spark, path):
-            log.warning("%s: %d malformed lines are left out", path, bad)
+    with load.staged(spark, aln_a, records, out, presorted, kinds[0]) as (a, names_a), load.staged(spark, aln_b, records, out, presorted, kinds[1]) as (b, names_b):
+        made = _compared(spark, a, b, names_a, names_b, out, prefix, label_a, label_b, form, allow_id_mismatch, presorted, emit_alninfo, emit_readinfo, keep_sorted_paf)
+    sinks.show_summary(made.summary, "Comparison summary", BRIEF)
+    return made
+
+
+def _compared(
+    spark: SparkSession, a: DataFrame, b: DataFrame, names_a: DataFrame, names_b: DataFrame, out: str, prefix: str, label_a: str, label_b: str, form: str, allow_id_mismatch: bool,
+    presorted: bool, emit_alninfo: bool, emit_readinfo: bool, keep_sorted_paf: bool,
+) -> Result:
     only = (0, 0)
     if presorted:
         _same_order(a, b)
     else:
-        names = [load.load_names(spark, p, records) for p in (aln_a, aln_b)]
-        found = pair.check_ids(*names) if allow_id_mismatch else pair.require_same_ids(*names, label_a, label_b)
+        found = pair.check_ids(names_a, names_b) if allow_id_mismatch else pair.require_same_ids(names_a, names_b, label_a, label_b)
         only = (found.n_only_a, found.n_only_b)
     tie = "place" if presorted else "line"
     made = Result()
-    base = out / prefix
+    base = f"{out}/{prefix}"
     paths = {"summary": f"{base}.compare.summary.tsv", "parquet": f"{base}.compare.parquet" if form != "tsv" else "", "tsv": f"{base}.compare.tsv.gz" if form != "parquet" else ""}
     for label in (label_a, label_b):
         paths |= {f"{label}.alninfo": f"{base}.{label}.alninfo.tsv.gz" if emit_alninfo else "", f"{label}.readinfo": f"{base}.{label}.readinfo.tsv.gz" if emit_readinfo else "", f"{label}.sorted": f"{base}.{label}.sorted.paf.gz" if keep_sorted_paf else ""}
@@ -142,7 +147,7 @@ def compare(
         if form != "tsv":
             # later results are read from the table at rest: nothing is computed twice
             sinks.write_comparison_parquet(table, paths["parquet"])
-            table = spark.read.parquet(f"file://{Path(paths['parquet']).resolve()}")
+            table = spark.read.parquet(paths["parquet"])
         else:
             table = table.persist()
         if form != "parquet":
@@ -159,7 +164,6 @@ def compare(
         sinks.write_summary(made.summary, paths["summary"])
         if form == "tsv":
             table.unpersist()
-    sinks.show_summary(made.summary, "Comparison summary", BRIEF)
     return made
 
 
@@ -177,9 +181,7 @@ def sam2paf(spark: SparkSession, path: str, out: str = "-", records: str = "all"
 
         lines = with_place(spark, path)
     rows, away = sam.convert(lines, records, long_cs, keep_unmapped)
-    sam.stop_if_fatal(away)
-    for row in away.orderBy("place").limit(100).collect():
-        log.warning("skipped: %s", row["reason"])
+    load.warn(path, away, "records are skipped")
     sinks.write_lines(rows, out, ["place"])
     return Result({"paf": out})
 
@@ -192,6 +194,7 @@ def paf2tables(spark: SparkSession, path: str, alninfo: str | None = None, readi
         raise ValueError("presorted input isn't sorted, so there is no sorted PAF to keep")
     path = load.spooled(path)
     rows = load.load_alignments(spark, path, in_order=presorted)
+    load.n_rejected(spark, path)
     tie = "place" if presorted else "line"
     if presorted:
         from weft.sources.paf import order_violations
@@ -201,7 +204,7 @@ def paf2tables(spark: SparkSession, path: str, alninfo: str | None = None, readi
             raise ValueError(f"presorted: read {wrong[0]['query_name']} follows a greater name")
     made = Result({k: v for k, v in (("alninfo", alninfo), ("readinfo", readinfo)) if v})
     if keep_sorted_paf:
-        made.paths["sorted"] = str(Path(alninfo or readinfo).parent / f"{input_stem(path)}.sorted.paf.gz")
+        made.paths["sorted"] = f"{_beside(alninfo or readinfo)}/{input_stem(path)}.sorted.paf.gz"
     with sinks.all_or_nothing(list(made.paths.values())):
         if alninfo:
             sinks.write_text(_ordered_alninfo(rows, tie), alninfo, [])
@@ -234,7 +237,7 @@ def compare_readinfo(spark: SparkSession, readinfo_a: str, readinfo_b: str, out:
         table = P.compare(a, b, label_a, label_b, order="place")
         if out.endswith(".parquet"):
             sinks.write_comparison_parquet(table, out)
-            table = spark.read.parquet(f"file://{Path(out).resolve()}")
+            table = spark.read.parquet(out)
         else:
             sinks.write_text(table, out, ["query_name"], escape=SIDE_TEXT)
         summary = pairs_of(K.summary(K.classify(K.classify_columns(table)), found.n_only_a, found.n_only_b), (label_a, label_b))
@@ -258,7 +261,7 @@ def find_aln_diff(spark: SparkSession, path: str, outdir: str, prefix: str, mode
     wanted = ["query_name", *schema.sided(schema.CLASSIFY_SIDE, "A"), *schema.sided(schema.CLASSIFY_SIDE, "B")]
     rows = tables.read_comparison(spark, path, columns=wanted, parquet_only=True)
     labels = tables.labels_of(rows)
-    base, end = _folder(outdir) / prefix, ".gz" if gzip else ""
+    base, end = f"{make_folder(outdir)}/{prefix}", ".gz" if gzip else ""
     stem = {"any-diff-query": "query_aln", "any-diff-reference": "reference_aln"}[mode]
     paths = {"reads": f"{base}.{stem}_diff_reads.tsv{end}", "regions_A": f"{base}.{stem}_diff_regions.A.bed{end}", "regions_B": f"{base}.{stem}_diff_regions.B.bed{end}", "summary": f"{base}.{stem}_diff_summary.tsv"}
     if emit_identical:
@@ -291,7 +294,7 @@ def query_junction_compare(spark: SparkSession, path: str, outdir: str, prefix:
     wanted = ["query_name", "query_len", "n_query_junctions_only_A", "n_query_junctions_only_B", *schema.sided(schema.QJC_SIDE, "A"), *schema.sided(schema.QJC_SIDE, "B")]
     table = tables.read_comparison(spark, path, columns=wanted, parquet_only=True)
     labels = tables.labels_of(table)
-    base = f"{_folder(outdir) / prefix}.query_junction_compare"
+    base = f"{make_folder(outdir)}/{prefix}.query_junction_compare"
     paths = {"summary": f"{base}.summary.tsv", "per_read": f"{base}.per_read_per_junc_info.tsv.gz", **{f"unmatched_{s}": f"{base}.unmatched_junctions.{s}.tsv.gz" for s in "AB"}}
     if emit_all:
         paths |= {f"all_{s}": f"{base}.all_junctions.{s}.tsv.gz" for s in "AB"}
@@ -315,7 +318,7 @@ def genomic_junction_compare(spark: SparkSession, path: str, outdir: str, prefix
     wanted = ["query_name", *schema.sided(schema.GJC_SIDE, "A"), *schema.sided(schema.GJC_SIDE, "B")]
     table = tables.read_comparison(spark, load.spooled(path), form, wanted)
     labels = tables.labels_of(table)
-    base = f"{_folder(outdir) / prefix}.genomic_junction_compare"
+    base = f"{make_folder(outdir)}/{prefix}.genomic_junction_compare"
     paths = {"per_read": f"{base}.per_read.tsv.gz", "per_junction": f"{base}.per_junction.tsv.gz", "summary": f"{base}.summary.tsv"}
     rows = J.with_genomic(table)
     junctions = J.per_junction(rows).persist()

@@ -316,4 +316,10 @@ ORACLE |= {
     "paf_text_roundtrip": f"WITH {_paf('B')} SELECT {', '.join(LINE)}, ms_score, as_score, cs, tp_tag, ts_tag, line FROM paf_B",
     "sam_to_paf": f"""WITH {_paf('A')} SELECT query_name, CASE WHEN un THEN 1 ELSE query_len END::BIGINT AS query_len, {_SAM_START} AS query_start, {_SAM_END} AS query_end, strand, target_name, target_len, target_start, target_end, n_residue_matches, aln_block_len, mapq,
   CASE WHEN un THEN '*' WHEN tp_tag = 'S' THEN 'S' ELSE 'P' END AS tp_tag, CASE WHEN un THEN NULL ELSE sb + ins + del END::BIGINT AS nm, CASE WHEN un THEN 0 ELSE sb END::BIGINT AS mm, cs FROM paf_A""",
+    "sam_header": """WITH d AS (SELECT c_custkey AS k, 'c' || (c_custkey % 97) AS contig, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey * 7 + 1 END AS n FROM customer)
+SELECT contig, arg_max(n, k)::BIGINT AS contig_len FROM d WHERE n IS NOT NULL GROUP BY contig""",
+    "sam_rejects": """SELECT CASE WHEN c_custkey % 100 = 0 THEN 'fewer than 11 fields' ELSE ['FLAG is no number', 'contig is not in the header', 'POS is no place', 'alignment ends behind its contig',
+  'MAPQ is no number', 'SEQ and CIGAR differ in length', 'SEQ and QUAL differ in length'][c_custkey % 8] END AS reason, count(*) AS n FROM customer WHERE c_custkey % 8 > 0 OR c_custkey % 100 = 0 GROUP BY ALL""",
 }
+
+ORACLE["table_text_roundtrip"] = f"SELECT query_name, query_len, target_name, target_start, target_end, mapq FROM ({ORACLE['readinfo_collapse']})"

@@ -267,3 +267,45 @@ def sam_to_paf(spark, sf_dir):
     lines = spark.sql(sam_sql("{rows}"), rows=alignments(spark, sf_dir, "A", parts=True))
     rows, _ = sam.convert(as_read(lines, "value"), "all")
     return rows.select(*schema.names(schema.PAF_COLUMNS), "tp_tag", "nm", "mm", "cs")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(c("c_custkey").cast("bigint").alias("k"))
+
+
+@query
+def sam_header(spark, sf_dir):
+    """Contigs of @SQ lines with names that repeat, fields in any place, and lines without a number."""
+    k, text = c("k"), lambda x: x.cast("string")
+    name, size = F.concat(F.lit("SN:c"), text(k % 97)), F.concat(F.lit("LN:"), F.when(k % 11 == 0, "none").otherwise(text(k * 7 + 1)))
+    value = F.when(k % 2 == 0, F.concat_ws("\t", F.lit("@SQ"), name, size)).otherwise(F.concat_ws("\t", F.lit("@SQ"), F.lit("AS:x"), size, F.lit("M5:y"), name))
+    rows = _customers(spark, sf_dir).select(F.explode(F.array(F.struct(value.alias("value"), k.alias("place")))).alias("x")).select("x.value", "x.place")
+    return sam.header(rows)
+
+
+@query
+def sam_rejects(spark, sf_dir):
+    """Records that can't be used, by the reason that they are set apart for."""
+    k, kind = c("k"), c("k") % 8
+    either = lambda n, value, usual: F.when(kind == n, value).otherwise(usual)
+    fields = [
+        F.concat(F.lit("r"), k.cast("string")), either(1, "x", "0"), either(2, "other", "ctg"), either(3, "0", either(4, "96", "11")), either(5, "high", "60"), either(6, "8M", "10M"),
+        F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), either(7, "II", "*"), F.lit("cs:Z::10"),
+    ]
+    made = _customers(spark, sf_dir).select(F.when(k % 100 == 0, F.concat_ws("\t", *fields[:6])).otherwise(F.concat_ws("\t", *fields)).alias("value"))
+    header = spark.createDataFrame([("@SQ\tSN:ctg\tLN:100",)], "value string")
+    _, away = sam.convert(as_read(made, "value").union(header), "all")
+    return away.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def table_text_roundtrip(spark, sf_dir):
+    """The readinfo table as text cells and back."""
+    from weft import sinks
+    from weft.sources import tables
+
+    info = collapse.escaped(features.derive(collapse.representatives(alignments(spark, sf_dir, "A"), "line")).withColumn("cs", X.escape(c("cs"))))
+    lines = info.select(F.concat_ws("\t", *sinks.cells(info)).alias("value"))
+    cells = as_read(lines, "value").withColumn("f", F.split("value", "\t"))
+    back = tables.typed(cells.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(info.columns)]), schema.READINFO)
+    return back.select("query_name", "query_len", "target_name", "target_start", "target_end", "mapq")

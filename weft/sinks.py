@@ -1,24 +1,24 @@
 """Files of results: ordered text, plain or gzip, and Parquet. Nothing half-written is left behind.
 
-Text is sorted by Spark in ranges, each range is written by its own task, and the parts are put
-together in order; gzip files may be joined as they are. A file appears under its name only when whole.
+Paths are Hadoop's: any file system that the session knows, the default one without a scheme. Text is sorted by
+Spark in ranges, each range is written by its own task to a hidden folder beside the target, and the parts are put
+together in order there; gzip files may be joined as they are. A file appears under its name only when whole.
 """
 
 from __future__ import annotations
 
 import gzip
 import logging
-import shutil
 import sys
 import uuid
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft import schema
 from weft.functions import text as X
+from weft.sources.files import place_of
 
 log = logging.getLogger("weft")
 c = F.col
@@ -38,64 +38,73 @@ def cells(frame: DataFrame, escape: set[str] = frozenset()) -> list[Column]:
     return made
 
 
-def write_text(frame: DataFrame, path: str, order: list[str], names: list[str] | None = None, escape: set[str] = frozenset()) -> None:
-    """A table as tab-separated text with a header line, in ``order``. ``-`` is standard output; ``.gz`` is compressed."""
+def _hidden(path: str):
+    """(file system, the target, a folder of its own beside it)."""
+    fs, target = place_of(path)
+    return fs, target, target.getParent().suffix(f"/.weft-{uuid.uuid4().hex}")
+
+
+def _joined(lines: DataFrame, path: str, head: str = "") -> None:
+    """A column ``value`` as a file, behind ``head``."""
+    if path == "-":
+        sys.stdout.write(head)
+        for row in lines.toLocalIterator(prefetchPartitions=True):
+            sys.stdout.write(row["value"] + "\n")
+        sys.stdout.flush()
+        return
     zipped = path.endswith(".gz")
-    head = "\t".join(names or frame.columns) + "\n"
-    rows = frame.orderBy(*order) if order else frame
-    lines = rows.select(F.concat_ws("\t", *cells(rows, escape)).alias("value"))
-    target = Path("/dev/stdout") if path == "-" else Path(path)
-    parts = (Path.cwd() if path == "-" else target.parent) / f".weft-{uuid.uuid4().hex}"
+    fs, target, folder = _hidden(path)
+    jvm = lines.sparkSession._jvm
     try:
-        lines.write.option("lineSep", "\n").text(f"file://{parts.resolve()}", compression="gzip" if zipped else "none")
-        whole = parts / "whole"
-        with whole.open("wb") as out:
-            out.write(gzip.compress(head.encode(), mtime=0) if zipped else head.encode())
-            for part in sorted(parts.glob("part-*")):
-                with part.open("rb") as file:
-                    shutil.copyfileobj(file, out)
-        if path == "-":
-            with whole.open("rb") as file:
-                shutil.copyfileobj(file, sys.stdout.buffer)
-        else:
-            whole.replace(target)
+        lines.write.option("lineSep", "\n").text(folder.toString(), compression="gzip" if zipped else "none")
+        parts = sorted((p.getPath() for p in fs.listStatus(folder) if p.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        whole = folder.suffix("/whole")
+        out = fs.create(whole, True)
+        try:
+            if head:
+                out.write(bytearray(gzip.compress(head.encode(), mtime=0) if zipped else head.encode()))
+            for part in parts:
+                source = fs.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        _put(fs, whole, target)
     finally:
-        shutil.rmtree(parts, ignore_errors=True)
+        fs.delete(folder, True)
+
+
+def _put(fs, made, target) -> None:
+    fs.delete(target, True)
+    if not fs.rename(made, target):
+        raise OSError(f"{made.toString()} can't be renamed to {target.toString()}")
+
+
+def write_text(frame: DataFrame, path: str, order: list[str], names: list[str] | None = None, escape: set[str] = frozenset()) -> None:
+    """A table as tab-separated text with a header line, in ``order``. ``-`` is standard output; ``.gz`` is compressed."""
+    rows = frame.orderBy(*order) if order else frame
+    _joined(rows.select(F.concat_ws("\t", *cells(rows, escape)).alias("value")), path, "\t".join(names or frame.columns) + "\n")
 
 
 def write_lines(frame: DataFrame, path: str, order: list[str] | None = None) -> None:
     """A column ``line`` as it is, without a header."""
-    rows = frame.orderBy(*(order or ["line"])).select(c("line").alias("value"))
-    target = Path(path)
-    parts = (Path.cwd() if path == "-" else target.parent) / f".weft-{uuid.uuid4().hex}"
-    try:
-        rows.write.option("lineSep", "\n").text(f"file://{parts.resolve()}", compression="gzip" if path.endswith(".gz") else "none")
-        whole = parts / "whole"
-        with whole.open("wb") as out:
-            for part in sorted(parts.glob("part-*")):
-                with part.open("rb") as file:
-                    shutil.copyfileobj(file, out)
-        if path == "-":
-            with whole.open("rb") as file:
-                shutil.copyfileobj(file, sys.stdout.buffer)
-        else:
-            whole.replace(target)
-    finally:
-        shutil.rmtree(parts, ignore_errors=True)
+    _joined(frame.orderBy(*(order or ["line"])).select(c("line").alias("value")), path)
+
+
+ROW_GROUP = 1_048_576
 
 
 def write_comparison_parquet(frame: DataFrame, path: str) -> None:
-    """The 93 typed columns, zstd, with the version in the schema's metadata (which Spark keeps in the files' footers)."""
+    """The 93 typed columns, zstd, row groups of at most ROW_GROUP rows, with the version in the schema's metadata (which Spark keeps in the files' footers)."""
     marked = frame.withColumn("query_name", c("query_name").alias("query_name", metadata={schema.VERSION_KEY: schema.VERSION}))
-    frame_out = marked.select(*frame.columns)
-    target = Path(path)
-    parts = target.parent / f".weft-{uuid.uuid4().hex}"
+    fs, target, folder = _hidden(path)
     try:
-        frame_out.write.option("compression", "zstd").parquet(f"file://{parts.resolve()}")
-        remove(path)
-        parts.rename(target)
+        marked.select(*frame.columns).write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP).parquet(folder.toString())
+        _put(fs, folder, target)
     finally:
-        shutil.rmtree(parts, ignore_errors=True)
+        fs.delete(folder, True)
 
 
 def comparison_version(frame: DataFrame) -> str | None:
@@ -105,10 +114,14 @@ def comparison_version(frame: DataFrame) -> str | None:
 def write_summary(pairs: list[tuple[str, object]], path: str) -> None:
     """category and count; a few rows, so the driver writes them."""
     text = "category\tcount\n" + "".join(f"{k}\t{v}\n" for k, v in pairs)
-    target = Path(path)
-    part = target.with_name(f".{target.name}-{uuid.uuid4().hex}")
-    part.write_text(text)
-    part.replace(target)
+    fs, target, folder = _hidden(path)
+    try:
+        out = fs.create(folder, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        _put(fs, folder, target)
+    finally:
+        fs.delete(folder, True)
 
 
 def show_summary(pairs: list[tuple[str, object]], title: str, only: set[str] | None = None) -> None:
@@ -117,11 +130,8 @@ def show_summary(pairs: list[tuple[str, object]], title: str, only: set[str] | N
 
 
 def remove(path: str) -> None:
-    target = Path(path)
-    if target.is_dir():
-        shutil.rmtree(target, ignore_errors=True)
-    else:
-        target.unlink(missing_ok=True)
+    fs, target = place_of(path)
+    fs.delete(target, True)
 
 
 @contextmanager

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import gzip
+import logging
 import shutil
 import sys
 import tempfile
-from pathlib import Path
+import uuid
+from collections import Counter
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.sources import paf, sam
 from weft.sources.bam import read_bam_lines
+from weft.sources.files import head_of as _head
+from weft.sources.files import place_of
 
-
-def plain_path(path: str) -> Path:
-    return Path(path.removeprefix("file://"))
-
-
-def _head(path: str, n: int = 65536) -> bytes:
-    with plain_path(path).open("rb") as file:
-        start = file.read(2)
-    opener = gzip.open if start == b"\x1f\x8b" else open
-    with opener(plain_path(path), "rb") as file:
-        return file.read(n)
+log = logging.getLogger("weft")
 
 
 def detect(path: str) -> str:
@@ -83,6 +77,46 @@ def load_alignments(spark: SparkSession, path: str, records: str = "primary-supp
     return sam.as_alignments(rows)
 
 
+@contextmanager
+def staged(spark: SparkSession, path: str, records: str, folder: str, in_order: bool = False, kind: str | None = None):
+    """(alignments, names of all lines) of a file, with a warning for what is left out.
+
+    SAM and BAM are decoded once and converted once, to Parquet in a hidden folder below ``folder``, which goes at the end.
+    """
+    if (kind or detect(path)) == "paf":
+        lines = paf.with_place(spark, path) if in_order else paf.read_lines(spark, path)
+        rows, away = paf.parse(lines)
+        warn(path, away, "malformed lines are left out")
+        yield rows, paf.line_names(lines)
+        return
+    fs, place = place_of(f"{folder}/.weft-{uuid.uuid4().hex}")
+    try:
+        lines = sam_lines(spark, path)
+        if "place" not in lines.columns and in_order:
+            lines = paf.with_place(spark, path)
+        lines.write.parquet(place.suffix("-lines").toString())
+        rows, away = sam.convert(spark.read.parquet(place.suffix("-lines").toString()), records)
+        warn(path, away, "records are left out")
+        sam.as_alignments(rows).write.parquet(place.suffix("-rows").toString())
+        found = spark.read.parquet(place.suffix("-rows").toString())
+        yield found, found.select("query_name")
+    finally:
+        for part in ("-lines", "-rows"):
+            fs.delete(place.suffix(part), True)
+
+
+def warn(path: str, away: DataFrame, what: str) -> int:
+    """Counts rejects by reason in one pass, warns of them, and stops at a fatal one."""
+    kinds = F.when(F.startswith("reason", F.lit("fatal")), "fatal").otherwise(F.col("reason"))
+    found = Counter({r["kind"]: (r["n"], r["first"]) for r in away.groupBy(kinds.alias("kind")).agg(F.count("*").alias("n"), F.min("reason").alias("first")).collect()})  # one row a reason
+    if "fatal" in found:
+        sam.stop(found["fatal"][1])
+    n = sum(k for k, _ in found.values())
+    if n:
+        log.warning("%s: %d %s: %s", path, n, what, ", ".join(f"{k} {reason}" for reason, (k, _) in sorted(found.items())))
+    return n
+
+
 def load_names(spark: SparkSession, path: str, records: str = "primary-supp") -> DataFrame:
     """(query_name) of all lines: PAF lines that are malformed count too."""
     if detect(path) == "paf":
@@ -90,5 +124,8 @@ def load_names(spark: SparkSession, path: str, records: str = "primary-supp") ->
     return load_alignments(spark, path, records).select("query_name")
 
 
-def n_rejected(spark: SparkSession, path: str) -> int:
-    return paf.parse(paf.read_lines(spark, path))[1].agg(F.count("*")).first()[0] if detect(path) == "paf" else 0
+def n_rejected(spark: SparkSession, path: str, records: str = "primary-supp") -> int:
+    """Lines or records that are left out, with a warning."""
+    if detect(path) == "paf":
+        return warn(path, paf.parse(paf.read_lines(spark, path))[1], "malformed lines are left out")
+    return warn(path, sam.convert(sam_lines(spark, path), records)[1], "records are left out")

@@ -29,12 +29,16 @@ def _tag(tags: Column, name: str) -> Column:
 
 
 def header(lines: DataFrame) -> DataFrame:
-    """(contig, contig_len) of @SQ lines; of a name that repeats, the last in text order counts; lines without a number are left out."""
-    own = lines.filter(F.startswith("value", F.lit("@SQ\t"))).select(F.split("value", "\t").alias("f"))
-    field = lambda name: F.try_element_at(F.filter("f", lambda t: F.startswith(t, F.lit(name + ":"))), F.lit(1))
-    pairs = own.filter(F.exists("f", lambda t: F.startswith(t, F.lit("SN:"))) & F.exists("f", lambda t: F.startswith(t, F.lit("LN:"))))
-    named = pairs.select(F.substring(field("SN"), F.lit(4), F.lit(2**31 - 1)).alias("contig"), natural(F.substring(field("LN"), F.lit(4), F.lit(40))).alias("contig_len"))
-    return named.filter("contig_len is not null").groupBy("contig").agg(F.max("contig_len").alias("contig_len"))
+    """(contig, contig_len) of @SQ lines; of a name that repeats, the last line counts; lines without a number are left out.
+
+    SN and LN are found at any place in the line; of several, the last. ``place`` is the lines' order if it is given; else
+    the order of reading is, which follows the file.
+    """
+    own = lines.filter(F.startswith("value", F.lit("@SQ\t")))
+    own = own.select(F.split("value", "\t").alias("f"), (c("place") if "place" in lines.columns else F.monotonically_increasing_id()).alias("place"))
+    field = lambda name: F.substring(F.try_element_at(F.filter("f", lambda t: F.startswith(t, F.lit(name + ":"))), F.lit(-1)), F.lit(4), F.lit(2**31 - 1))
+    named = own.select(field("SN").alias("contig"), natural(field("LN")).alias("contig_len"), "place").filter("contig is not null and contig_len is not null")
+    return named.groupBy("contig").agg(F.max_by("contig_len", "place").alias("contig_len"))
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -154,7 +158,11 @@ def as_alignments(rows: DataFrame) -> DataFrame:
 def stop_if_fatal(away: DataFrame) -> None:
     row = away.filter(F.startswith("reason", F.lit("fatal"))).limit(1).collect()
     if row:
-        raise NoDifferenceString(row[0]["reason"][7:] + "; align with cs output, add MD tags, or leave out secondary alignments")
+        stop(row[0]["reason"])
+
+
+def stop(reason: str) -> None:
+    raise NoDifferenceString(reason.removeprefix("fatal: ") + "; align with cs output, add MD tags, or leave out secondary alignments")
 
 
 def read_sam(spark: SparkSession, path: str, which: str = "primary-supp", long_cs: bool = False, keep_unmapped: bool = True) -> DataFrame:
