@@ -222,7 +222,7 @@ def bands_of(own):
         mixed = (own[at : at + 4096, None] ^ turns[0]) * (turns[1] | np.uint64(1))
         mixed ^= mixed >> np.uint64(31)
         least = np.minimum(least, mixed.min(axis=0))
-    total = np.zeros(BANDS, dtype=np.uint64)
+    total = np.arange(BANDS, dtype=np.uint64)  # a band's number is part of its hash
     for k in range(ROWS):
         total = (total ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
@@ -232,7 +232,7 @@ def bands_of(own):
 def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, fp, bands) for each row; th is the text's digest."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    narrow = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("th"), text.alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -244,20 +244,20 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands.append(bands_of(shingle_set(words, hashes)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "th", "fp", "bands"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th string, fp bigint, bands array<bigint>")
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th binary, fp bigint, bands array<bigint>")
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", distance: int = 3) -> DataFrame:
     """(a, b): fingerprints of texts that are SIMILAR, further apart than ``distance`` bits."""
-    banded = rows.dropDuplicates(["th"]).select("th", "fp", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("band", "key")
-    shared = cut(banded.join(buckets, ["band", "key"]))
+    banded = rows.dropDuplicates(["th"]).select("th", "fp", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("key")
+    shared = cut(banded.join(buckets, "key"))
     a, b = shared.withColumnsRenamed({"th": "ta", "fp": "a"}), shared.withColumnsRenamed({"th": "tb", "fp": "b"})
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > distance
-    met = cut(a.join(b, ["band", "key"]).filter((F.col("a") < F.col("b")) & far).select("ta", "tb", "a", "b").distinct())
+    met = cut(a.join(b, "key").filter((F.col("a") < F.col("b")) & far).select("ta", "tb", "a", "b").distinct())
     wanted = cut(met.select(F.explode(F.array("ta", "tb")).alias("__th")).distinct())
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    held = docs.select(F.md5(text).alias("th"), text.alias("text")).join(bounded(wanted), F.col("th") == F.col("__th"), "left_semi")
+    held = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")).join(bounded(wanted), F.col("th") == F.col("__th"), "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -267,7 +267,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", dist
                 sets.append(shingle_set(words, shingle_hashes(words, 3)).view("int64"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["th", "own"])
 
-    sets = cut(held.mapInArrow(run, "th string, own array<bigint>").dropDuplicates(["th"]))
+    sets = cut(held.mapInArrow(run, "th binary, own array<bigint>").dropDuplicates(["th"]))
     left, right = sets.toDF("ta", "sa"), sets.toDF("tb", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.join(left, "ta").join(right, "tb").filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
@@ -288,7 +288,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     first = rooted.groupBy("root").agg(F.min(place).alias("first"))
     judged = cut(rooted.join(first, "root").select("id", "th", "n", place.eqNullSafe(F.col("first")).alias("stays")))
-    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    text = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
     def on(ids: DataFrame, how: str, rows: DataFrame) -> DataFrame:
         ids = bounded(cut(ids.select(F.col("id").alias("__id"), F.col("th").alias("__th"))))
