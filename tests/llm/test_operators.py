@@ -883,6 +883,77 @@ def test_similar_texts_are_one_group(spark):
     assert kept == {2 * k for k in similar} | {2 * k + 1 for k in similar if not similar[k] and k not in close}
 
 
+def family_of(rnd, size, words, changed):
+    """Texts of some words in common, each with its own changes in up to ``changed`` places."""
+    base, texts = [f"w{rnd.randrange(10**6)}" for _ in range(words)], []
+    for _ in range(size):
+        own = list(base)
+        for at in rnd.sample(range(words), rnd.randint(changed // 2, changed)):
+            own[at] = f"c{rnd.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("place", [1 << 20, 5000, 700])
+def test_links_of_similar_texts_against_brute_force(spark, place, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "PLACE", place)
+    rnd = random.Random(3)
+    texts = [t for size, changed in [(40, 4), (30, 9), (12, 6), (12, 3), (2, 2), (1, 1)] for t in family_of(rnd, size, 120, changed)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:5], None, "", "short"])], "doc_id bigint, text string")
+    sets, bands, prints = {}, {}, {}
+    for i, t in enumerate(texts):
+        words = t.encode().split()
+        sets[i] = {" ".join(t.split()[k : k + 5]) for k in range(len(words) - 4)}
+        bands[i] = set(simhash.bands_of(simhash.shingle_set(words, simhash.shingle_hashes(words, 3))))
+        prints[i] = simhash.fingerprint_of(t.encode())
+
+    def joined(links):
+        root = {p: p for p in prints.values()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        groups = {}
+        for p in root:
+            groups.setdefault(find(p), set()).add(p)
+        return sorted(map(sorted, groups.values()))
+
+    close = [(prints[a], prints[b]) for a in prints for b in range(a) if (prints[a] ^ prints[b] & (1 << 64) - 1).bit_count() <= 3]
+    similar = [(prints[a], prints[b]) for a in prints for b in range(a) if bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = [tuple(r) for r in simhash.similar_links(docs, simhash.cut(simhash._text_rows(docs, "doc_id", "text"))).collect()]
+    assert set(found) <= {*similar, *((b, a) for a, b in similar)}
+    assert joined(close + found) == joined(close + similar) != joined(close)
+
+
+def test_sets_do_not_travel_with_pairs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(9)
+    common = " ".join(f"w{k}" for k in range(80))
+    texts = [" ".join([common, *(f"c{rnd.randrange(10**6)}" for _ in range(20))]) for _ in range(150)]  # of a similarity of 0.66
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sizes, kept = [], simhash.cut
+
+    def counted(frame):
+        done = kept(frame)
+        sizes.append(done.count())
+        return done
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    rows = counted(simhash._text_rows(docs, "doc_id", "text"))
+    links = simhash.similar_links(docs, rows).collect()
+    bands = [set(r["bands"]) for r in rows.select("bands").collect()]
+    met = sum(bool(a & b) for k, a in enumerate(bands) for b in bands[:k])
+    assert met > simhash.BANDS * 150 >= max(sizes)
+    assert links == []
+
+
 def test_groups_of_null_and_repeated_ids_keep_a_row(spark):
     one, two, three, four = ("alpha beta gamma delta", "one two three four five six", "red green blue", "north south east west up")
     rows = [(None, one), (None, two), (None, three), (3, three), (2, two), (5, two), (5, four), (8, four), (None, one)]

@@ -19,8 +19,10 @@
 The pipeline's stage (``deduplicate``) has a setting of its own: texts are near duplicates if their sets of
 shingles of ``SETS`` words have a Jaccard similarity of ``SIMILAR`` or more, or if their fingerprints are as
 close as above. Pairs are met by MinHash: ``BANDS`` bands of ``ROWS`` least hashes, of which two texts share at
-least one with probability 1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. Each pair that is met is verified with
-its whole sets. Only distinct texts are met, and only those whose fingerprints don't link them.
+least one with probability 1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. Pairs that are met are verified with
+their whole sets, unless links join them already. Only distinct texts are met. Sets go to places where they meet
+(``places``), not with pairs: a place is a family of texts that buckets chain together, or a bucket, and a large one is
+cut into parts of which each two meet, so its tasks are bounded and no pair is left out.
 
 Null texts count as empty; very long ones are hashed whole. Rows that share a doc_id each keep their own row. A
 null doc_id is never a component's id unless its component has no other. Ids may be of any type that has an order.
@@ -40,6 +42,8 @@ from weft.llm.common import bounded, cut
 HOT, LEVELS = 512, 3
 SETS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
+#: Hashes of sets that a task compares at once, of each of two parts; a text weighs its hashes and LEAST.
+PLACE, LEAST = 1 << 20, 512
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> bytes:
@@ -230,34 +234,101 @@ def bands_of(own):
 
 
 def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, fp, bands) for each row; th is the text's digest."""
+    """(id, th, fp, weight, bands) for each row; th is the text's digest."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     narrow = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps, bands = [], []
+            fps, weights, bands = [], [], []
             for text in batch.column(2):
                 words = text.as_py().lower().split()
                 hashes = shingle_hashes(words, 3) if words else b""
                 fps.append(fingerprint_from(hashes) if words else 0)
-                bands.append(bands_of(shingle_set(words, hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "th", "fp", "bands"])
+                own = shingle_set(words, hashes)
+                weights.append(len(own) + LEAST)
+                bands.append(bands_of(own))
+            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "fp", "weight", "bands"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th binary, fp bigint, bands array<bigint>")
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, th binary, fp bigint, weight bigint, bands array<bigint>")
+
+
+def links_within(table: pa.Table, distance: int = 3) -> pa.Table:
+    """(a, b): links that join what the SIMILAR texts of one place join; pairs that others join already are not compared.
+
+    Texts are compared if they share a band; in a place with a key, if that is the first band that they share; in one of
+    two parts, if they are of different parts. Pairs within ``distance`` bits are linked elsewhere.
+    """
+    import numpy as np
+
+    flat = lambda name: table.column(name).combine_chunks()
+    fps, part = flat("fp").to_numpy().view(np.uint64), flat("part").to_numpy()
+    bands = flat("bands").flatten().to_numpy().reshape(len(fps), -1)
+    key, two = table.column("key")[0].as_py(), table.column("x")[0] != table.column("y")[0]
+    own = flat("own")
+    edges = own.offsets.to_numpy() - own.offsets[0].as_py()
+    starts, ends, sizes = edges[:-1], edges[1:], np.diff(edges).astype(np.int64)
+    numbers = np.unique(own.flatten().to_numpy(), return_inverse=True)[1]
+    mark, label = np.zeros(len(numbers), dtype=np.int64), np.unique(fps, return_inverse=True)[1]
+    links = []
+    for i in range(len(fps) - 1):
+        same = bands[i + 1 :] == bands[i]
+        meets = same.any(axis=1) & (label[i + 1 :] != label[i])
+        if two:
+            meets &= part[i + 1 :] != part[i]
+        if key is not None:
+            meets &= bands[i][same.argmax(axis=1)] == key
+        at = np.flatnonzero(meets) + i + 1
+        near = np.bitwise_count(fps[at] ^ fps[i]) <= distance
+        for j in at[near]:
+            label[label == label[j]] = label[i]
+        at = at[label[at] != label[i]]
+        if not len(at):
+            continue
+        mark[numbers[starts[i] : ends[i]]] = 1
+        shared = mark[np.concatenate([numbers[starts[j] : ends[j]] for j in at])]
+        both = np.add.reduceat(shared, np.cumsum(sizes[at]) - sizes[at])
+        mark[numbers[starts[i] : ends[i]]] = 0
+        for j in at[both >= SIMILAR * (sizes[i] + sizes[at] - both)]:
+            if label[j] != label[i]:
+                links.append((int(fps[i]), int(fps[j])))
+                label[label == label[j]] = label[i]
+    ends_of = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.table({"a": pa.array(ends_of[:, 0]), "b": pa.array(ends_of[:, 1])})
+
+
+def places(shared: DataFrame) -> DataFrame:
+    """(th, root, key, x, y, part): the places where a text of ``shared`` (key, th, fp, weight, low) is compared.
+
+    A root is a family of texts that buckets chain together. A family is one place, of parts of some PLACE of weight each
+    pair of which is a place (x, y) of its own; or, where that moves fewer sets, each of its buckets is, in the same way.
+    """
+    roots = components(shared.select(F.col("low").alias("a"), F.col("fp").alias("b"))).withColumnRenamed("node", "fp")
+    rooted = cut(shared.join(roots, "fp", "left").select("key", "th", "weight", F.coalesce("root", "fp").alias("root")))
+    parts = F.ceil(F.col("total") / PLACE).cast("int")
+    texts = rooted.select("root", "th", "weight").distinct()
+    families = texts.groupBy("root").agg(F.sum("weight").alias("total")).select("root", parts.alias("parts"), (F.col("total") * parts).alias("whole"))
+    buckets = rooted.groupBy("root", "key").agg(F.sum("weight").alias("total")).select("root", "key", parts.alias("parts"), (F.col("total") * parts).alias("moved"))
+    apart = cut(
+        buckets.groupBy("root").agg(F.sum("moved").alias("moved")).join(families, "root").select("root", "parts", (F.col("moved") < F.col("whole")).alias("apart"))
+    )
+    by_family = texts.join(apart.filter("not apart"), "root").select("th", "root", F.lit(None).cast("bigint").alias("key"), "parts")
+    by_bucket = rooted.join(apart.filter("apart").select("root"), "root").join(buckets.select("root", "key", "parts"), ["root", "key"]).select("th", "root", "key", "parts")
+    part = F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")
+    tiled = by_family.union(by_bucket).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tiled.select("th", "root", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part")
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", distance: int = 3) -> DataFrame:
-    """(a, b): fingerprints of texts that are SIMILAR, further apart than ``distance`` bits."""
-    banded = rows.dropDuplicates(["th"]).select("th", "fp", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("key")
+    """(a, b): links that, with those of ``distance`` bits, join all fingerprints of SIMILAR texts that share a band."""
+    banded = rows.dropDuplicates(["th"]).select("th", "fp", "weight", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("key", "low")
     shared = cut(banded.join(buckets, "key"))
-    a, b = shared.withColumnsRenamed({"th": "ta", "fp": "a"}), shared.withColumnsRenamed({"th": "tb", "fp": "b"})
-    far = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > distance
-    met = cut(a.join(b, "key").filter((F.col("a") < F.col("b")) & far).select("ta", "tb", "a", "b").distinct())
-    wanted = cut(met.select(F.explode(F.array("ta", "tb")).alias("__th")).distinct())
+    wanted = bounded(cut(shared.select(F.col("th").alias("__th")).distinct()))
+    held = cut(rows.join(wanted, F.col("th") == F.col("__th"), "left_semi").dropDuplicates(["th"]).select("th", "fp", "bands"))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    held = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")).join(bounded(wanted), F.col("th") == F.col("__th"), "left_semi")
+    read = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")).join(wanted, F.col("th") == F.col("__th"), "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -267,10 +338,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", dist
                 sets.append(shingle_set(words, shingle_hashes(words, 3)).view("int64"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["th", "own"])
 
-    sets = cut(held.mapInArrow(run, "th binary, own array<bigint>").dropDuplicates(["th"]))
-    left, right = sets.toDF("ta", "sa"), sets.toDF("tb", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return met.join(left, "ta").join(right, "tb").filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    sets = read.mapInArrow(run, "th binary, own array<bigint>").dropDuplicates(["th"])
+    met = cut(places(shared).join(held, "th")).join(sets, "th")
+    return met.groupBy("root", "key", "x", "y").applyInArrow(lambda table: links_within(table, distance), "a bigint, b bigint")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
