@@ -68,8 +68,11 @@ def is_kept(which: str = "primary-supp") -> Column:
     return c("flag").bitwiseAND(F.lit(mask)) == 0
 
 
-def convert(lines: DataFrame, which: str = "primary-supp", long_cs: bool = False, keep_unmapped: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(PAF rows with all tags, records set apart with a reason; reasons that begin with ``fatal`` must stop a run)."""
+def convert(lines: DataFrame, which: str = "primary-supp", long_cs: bool = False, keep_unmapped: bool = True, any_end: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(PAF rows with all tags, records set apart with a reason; reasons that begin with ``fatal`` must stop a run).
+
+    ``any_end``: alignments that end behind their contig are kept as they stand.
+    """
     more = [x for x in lines.columns if x != "value"]
     typed = records(lines).withColumns({"flag_text": c("flag"), "flag": natural(c("flag"), 2**32 - 1), "pos": natural(c("pos"))})
     early = (
@@ -103,7 +106,7 @@ def convert(lines: DataFrame, which: str = "primary-supp", long_cs: bool = False
     late = (
         F.when(c("contig_len").isNull(), "contig is not in the header")
         .when(c("pos").isNull() | (c("pos") < 1), "POS is no place")
-        .when(start + c("s.ref_len") > c("contig_len"), "alignment ends behind its contig")
+        .when(F.lit(not any_end) & (start + c("s.ref_len") > c("contig_len")), "alignment ends behind its contig")
         .when((c("seq") != "*") & (F.octet_length("seq") != c("s.query_consumed")), "SEQ and CIGAR differ in length")
         .when(natural(c("mapq"), 2**32 - 1).isNull(), "MAPQ is no number")
         .when(c("given").isNotNull(), F.lit(None).cast("string"))
