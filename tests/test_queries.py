@@ -1,12 +1,16 @@
-"""The queries over derived alignments against their SQL, on rows with ties and far places."""
+"""The queries over derived alignments: rows with ties and far places against their SQL, and what their plans carry."""
 
 import random
 
 import pytest
 
-from weft.plans import queries
+from weft.operators import collapse
+from weft.plans import fixture, queries
 from weft.plans.oracle import ORACLE
 
+NARROW = ["compare_table", "classify_reads", "find_aln_diff_summary", "gjc_per_junction", "qjc_all_a", "compare_summary", "readinfo_collapse"]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """A lineitem of few suppliers and quantities, so that alignments of a read tie, with parts that lie behind 5,000,000."""
@@ -23,7 +27,28 @@ def by_sql(tables, name):
         return sorted(base.execute(ORACLE[name]).fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["sam_to_paf"])
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary"])
 def test_same_as_sql(spark, tables, name):
     frame = queries.QUERIES[name](spark, tables)
     assert sorted(map(tuple, frame.collect()), key=str) == by_sql(tables, name)
+
+
+@pytest.mark.parametrize("side", ["A", "B"])
+def test_representatives_of_parts(spark, tables, side):
+    wide = collapse.representatives(fixture.alignments(spark, tables, side))
+    narrow = queries._best(spark, tables, side).select(*wide.columns)
+    assert narrow.count() == wide.count() > 40
+    assert narrow.exceptAll(wide).isEmpty()
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_narrow_exchange(spark, tables, name):
+    """Rows go by read once, as parts, and none are sorted ahead of that."""
+    text = plan(queries.QUERIES[name](spark, tables))
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(query_name" not in text
+    for scan in text.split("FileScan")[:-1]:
+        assert "Sort [" not in scan[scan.rindex("Exchange ") :]

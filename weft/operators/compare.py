@@ -55,9 +55,9 @@ def differences() -> dict[str, Column]:
     return made
 
 
-def compare(a: DataFrame, b: DataFrame, label_a: str = "SetA", label_b: str = "SetB", order: str | None = None) -> DataFrame:
-    """The comparison of two 37-column tables: reads of both sets, query_len from A, empty text as null."""
+def compare(a: DataFrame, b: DataFrame, label_a: str = "SetA", label_b: str = "SetB", order: str | None = None, read: str | None = None) -> DataFrame:
+    """The comparison of two 37-column tables: reads of both sets, query_len from A, empty text as null. ``read`` as in ``paired``."""
     texts = {n for n, kind in schema.SIDE if kind == "s"}
-    both = paired(a, b, order).withColumns({"query_len": c("query_len_A"), "label_A": F.lit(label_a), "label_B": F.lit(label_b)})
+    both = paired(a, b, order, read=read).withColumns({"query_len": c("query_len_A"), "label_A": F.lit(label_a), "label_B": F.lit(label_b)})
     blank = {f"{n}_{s}": F.nullif(c(f"{n}_{s}"), F.lit("")) for n in texts for s in "AB"}
     return both.withColumns(blank).withColumns(differences()).select(*schema.names(schema.COMPARISON))

@@ -32,15 +32,15 @@ class IdCheck:
         return self.n_b - self.n_shared
 
 
-def names_of_both(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(query_name, in_a, in_b), one row a distinct name."""
-    flags = a.select("query_name", F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(b.select("query_name", F.lit(0), F.lit(1)))
-    return flags.groupBy("query_name").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+def names_of_both(a: DataFrame, b: DataFrame, read: str = "query_name") -> DataFrame:
+    """(query_name, in_a, in_b), one row a distinct name; or by another column that tells reads apart."""
+    flags = a.select(read, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(b.select(read, F.lit(0), F.lit(1)))
+    return flags.groupBy(read).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
 
 
-def id_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+def id_counts(a: DataFrame, b: DataFrame, read: str = "query_name") -> DataFrame:
     """One row: n_a, n_b, n_shared, n_only_a, n_only_b distinct names."""
-    both = names_of_both(a, b)
+    both = names_of_both(a, b, read)
     return both.agg(
         F.sum("in_a").alias("n_a"), F.sum("in_b").alias("n_b"), F.count_if(F.expr("in_a + in_b = 2")).alias("n_shared"),
         F.count_if(F.col("in_b") == 0).alias("n_only_a"), F.count_if(F.col("in_a") == 0).alias("n_only_b"),
@@ -71,8 +71,14 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("query_name").orderBy(order)))
 
 
-def paired(a: DataFrame, b: DataFrame, order: str | None = None, how: str = "inner") -> DataFrame:
-    """Columns of ``a`` and ``b`` suffixed ``_A`` and ``_B``, joined on query_name (and occurrence, given an order column)."""
+def paired(a: DataFrame, b: DataFrame, order: str | None = None, how: str = "inner", read: str | None = None) -> DataFrame:
+    """Columns of ``a`` and ``b`` suffixed ``_A`` and ``_B``, joined on query_name (and occurrence, given an order column).
+
+    ``read`` is a column that tells reads apart as query_name does, by which both are partitioned; it is joined on instead.
+    """
+    if read:
+        own = [x.select(read, *([F.col("query_name")] if s == "A" else []), *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c not in ("query_name", read)]) for x, s in ((a, "A"), (b, "B"))]
+        return own[0].join(own[1], read).drop(read)
     if order:
         a, b = (numbered(x, order).drop(order) for x in (a, b))
     sides = [x.select("query_name", *(["__nth"] if order else []), *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c not in ("query_name", "__nth")]) for x, s in ((a, "A"), (b, "B"))]

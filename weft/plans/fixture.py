@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READ_LENGTH = 1000
+#: what an alignment is made of, and what tells reads apart
+PARTS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_quantity"]
+READ = "l_orderkey"
 
 
 def alignments_sql(side: str, source: str = "lineitem") -> str:
@@ -56,6 +59,18 @@ LINE = [
 LINE_SQL = "concat_ws('\t', " + ", ".join(f"cast({c} as string)" for c in LINE) + ", concat('ms:i:', cast(ms_score as string)), concat('AS:i:', cast(as_score as string)), concat('cs:Z:', cs), concat('tp:A:', tp_tag), concat('ts:A:', ts_tag))"
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow rows that alignments of both sets are made of."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*PARTS)
+
+
+def made(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` (parts, and more columns) that a set holds, with the columns of their alignments and ``line``."""
+    kept = ", ".join(rows.columns)
+    sql = alignments_sql(side, "{rows}").replace("rc, un\nfrom (select ", f"rc, un, {kept}\nfrom (select {kept}, ", 1)
+    return rows.sparkSession.sql(sql, rows=rows).withColumn("line", F.expr(LINE_SQL.replace("\t", "\\t")))
+
+
 def alignments(spark: SparkSession, sf_dir: str, side: str, parts: bool = False) -> DataFrame:
     """A set as a PAF source gives it: its columns, tags, and ``line``. ``parts``: with the lengths that it is made of."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
