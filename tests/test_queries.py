@@ -5,6 +5,7 @@ import random
 import pytest
 
 from weft.operators import collapse
+from weft.operators import junctions as J
 from weft.plans import fixture, queries
 from weft.plans.oracle import ORACLE
 
@@ -31,7 +32,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary"])
+@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary", "qjc_all_a", "qjc_unmatched_b"])
 def test_same_as_sql(spark, tables, name):
     frame = queries.QUERIES[name](spark, tables)
     assert sorted(map(tuple, frame.collect()), key=str) == by_sql(tables, name)
@@ -52,3 +53,19 @@ def test_narrow_exchange(spark, tables, name):
     assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(query_name" not in text
     for scan in text.split("FileScan")[:-1]:
         assert "Sort [" not in scan[scan.rindex("Exchange ") :]
+
+
+def test_catalogs_without_names(spark, tables):
+    rows = J.with_query(queries.comparison(spark, tables))
+    junction = J.catalogs(rows, True)
+    assert junction.exceptAll(J.catalogs(rows)).isEmpty() and junction.count() == J.catalogs(rows).count()
+    assert ", query_name#" not in plan(J.catalogs(rows, True)).split("hashpartitioning(side#")[1].split("\n")[0]
+
+
+def test_read_holds_a_junction_twice(spark):
+    """Reads are counted, not occurrences."""
+    side = "array(named_struct('q', 5L, 'at', 0, 'contig', 'c', 'start', 1L, 'end', 9L, 'strand', '+', 'motif', 'gtag'), named_struct('q', 6L, 'at', 1, 'contig', 'c', 'start', 1L, 'end', 9L, 'strand', '+', 'motif', 'nnnn'))"
+    rows = spark.sql(f"select 'r' as query_name, 'c' as target_name_A, '*' as target_name_B, 'n_query_junctions_different_aligned_only_A' as bucket, {side} as j_A, slice({side}, 1, 0) as j_B")
+    for one in (False, True):
+        (row,) = J.catalogs(rows, one).collect()
+        assert (row.n_reads_query_junctions_different, row.n_reads_with_junction_total, row.motif) == (1, 2, "gt-ag")

@@ -194,13 +194,23 @@ QJC_READ_COLUMNS = [
 ]
 
 
-def catalogs(rows: DataFrame) -> DataFrame:
-    """Both sides' junctions with counts: reads that differ in it, all occurrences, and its motif. One explode for both counts."""
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), c(f"j_{s}").alias("own"), keys_of(c(f"j_{o}")).alias("k"), (differing() & mapped(s)).alias("looked"), mapped(o).alias("there")) for s, o in ("AB", "BA")])
-    each = rows.select("query_name", F.explode(sides).alias("x")).select("query_name", "x.side", "x.k", "x.looked", "x.there", F.posexplode("x.own").alias("place", "j"))
+def catalogs(rows: DataFrame, one_row_a_read: bool = False) -> DataFrame:
+    """Both sides' junctions with counts: reads that differ in it, all occurrences, and its motif. One explode for both counts.
+
+    ``one_row_a_read``: no name repeats in ``rows``, so that reads are counted without a grouping by name.
+    """
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), c(f"j_{s}").alias("own"), keys_of(c(f"j_{s}")).alias("keys"), keys_of(c(f"j_{o}")).alias("k"), (differing() & mapped(s)).alias("looked"), mapped(o).alias("there")) for s, o in ("AB", "BA")])
+    each = rows.select("query_name", F.explode(sides).alias("x")).select("query_name", "x.side", "x.keys", "x.k", "x.looked", "x.there", F.posexplode("x.own").alias("place", "j"))
     key = F.struct(c("j.contig").alias("contig"), c("j.start").alias("start"), c("j.end").alias("end"), c("j.strand").alias("strand"))
-    each = each.select("query_name", "side", "place", c("j.at").alias("at"), *_keyed(), (c("looked") & ~(c("there") & F.array_contains("k", key))).alias("alone"))
+    first = F.array_position("keys", key) == c("place") + 1
+    each = each.select("query_name", "side", "place", c("j.at").alias("at"), *_keyed(), (c("looked") & ~(c("there") & F.array_contains("k", key))).alias("alone"), first.alias("first"))
     # a read counts once for a junction that it holds twice
+    if one_row_a_read:
+        counted = each.groupBy("side", *KEY).agg(
+            F.count_if(c("alone") & c("first")).alias("n_reads_query_junctions_different"), F.count("*").alias("n_reads_with_junction_total"),
+            _first_motif(c("alone")).alias("m_alone"), _first_motif(F.lit(True), c("at")).alias("m_any"),
+        )
+        return _catalog_columns(counted)
     by_read = each.groupBy("side", *KEY, "query_name").agg(
         F.count("*").alias("n"), F.max("alone").alias("alone"), _first_motif(c("alone")).alias("m_alone"), _first_motif(F.lit(True), c("at")).alias("m_any")
     )
@@ -208,6 +218,10 @@ def catalogs(rows: DataFrame) -> DataFrame:
     counted = by_read.groupBy("side", *KEY).agg(
         F.count_if("alone").alias("n_reads_query_junctions_different"), F.sum("n").alias("n_reads_with_junction_total"), pick("m_alone", c("alone")).alias("m_alone"), pick("m_any", F.lit(True)).alias("m_any")
     )
+    return _catalog_columns(counted)
+
+
+def _catalog_columns(counted: DataFrame) -> DataFrame:
     motif = F.coalesce(C.oriented_motif(F.coalesce("m_alone", "m_any"), c("intron_strand")), F.lit("."))
     return counted.select("side", *KEY, motif.alias("motif"), "n_reads_query_junctions_different", "n_reads_with_junction_total")
 
