@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import collapse
 from weft.operators import junctions as J
 from weft.plans import fixture, queries
 from weft.plans.oracle import ORACLE
+from weft.sources import paf
 
 NARROW = ["compare_table", "classify_reads", "find_aln_diff_summary", "gjc_per_junction", "qjc_all_a", "compare_summary", "readinfo_collapse"]
 
@@ -32,7 +34,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary", "qjc_all_a", "qjc_unmatched_b"])
+@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary", "qjc_all_a", "qjc_unmatched_b", "paf_text_roundtrip"])
 def test_same_as_sql(spark, tables, name):
     frame = queries.QUERIES[name](spark, tables)
     assert sorted(map(tuple, frame.collect()), key=str) == by_sql(tables, name)
@@ -69,3 +71,23 @@ def test_read_holds_a_junction_twice(spark):
     for one in (False, True):
         (row,) = J.catalogs(rows, one).collect()
         assert (row.n_reads_query_junctions_different, row.n_reads_with_junction_total, row.motif) == (1, 2, "gt-ag")
+
+
+def test_tags_of_paf(spark):
+    """The last value that isn't empty counts, also of a tag that looks like a part of another."""
+    tags = ["ms:i:1\tms:i:2", "ms:i:7\tms:i:", "xms:i:3", "", "ms:i:", "cs:Z::5\tms:i:4\tde:f:0", "ms:i:1\tms:i:\tms:i:3\tms:i:"]
+    frame = spark.createDataFrame(list(enumerate(tags)), "k int, t string").select("k", paf.tag_values(F.col("t"), "ms:i"))
+    assert [r[1] for r in sorted(frame.collect())] == ["2", "7", None, None, None, "4", "3"]
+
+
+def test_naturals(spark):
+    texts = ["12", "+3", "0" * 45 + "7", "9223372036854775807", "9223372036854775808", "1e3", " 4", "-1", "", "4294967296"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", paf.natural(F.col("t")), paf.natural(F.col("t"), 2**32 - 1))
+    got = sorted(map(tuple, frame.collect()))
+    assert [r[1] for r in got] == [12, 3, 7, 2**63 - 1, None, None, None, None, None, 2**32] and [r[2] for r in got] == [12, 3, 7, *[None] * 7]
+
+
+def test_lines_are_split_once(spark, tables):
+    """A filter on the reason doesn't split the line again for each of its terms."""
+    text = plan(queries.QUERIES["paf_text_roundtrip"](spark, tables))
+    assert text.count("split(value") == 1

@@ -23,6 +23,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def apart(value: Column) -> Column:
+    """``value`` by a lambda, whose projection is then compiled by itself, in methods of small size.
+
+    A stage compiled as a whole is one method; the JVM only interprets a method of more than 8,000 bytes.
+    """
+    return let(value, lambda v: v)
+
+
 def operations(cs: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(cs, F.lit("")), F.lit(OPERATION), F.lit(0))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import schema
+from weft.functions.cs import apart
 
 c = F.col
 WHOLE = "^\\+?[0-9]+$"
@@ -25,35 +26,39 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def natural(text: Column, most: int = 2**63 - 1) -> Column:
     """A non-negative whole number of plain digits, or null."""
-    return F.when(text.rlike(WHOLE), text.try_cast("decimal(38,0)")).try_cast("bigint") if most > 2**62 else F.when(text.rlike(WHOLE) & (text.try_cast("decimal(38,0)") <= most), text.try_cast("bigint"))
+    value = text.try_cast("bigint")  # null beyond 63 bits
+    return F.when(text.rlike(WHOLE) if most > 2**62 else text.rlike(WHOLE) & (value <= most), value)
 
 
 def tag_values(tags: Column, name: str) -> Column:
-    """The last value of a tag such as ``ms:i``, or null."""
-    own = F.filter(F.split(tags, "\t"), lambda t: F.startswith(t, F.lit(name + ":")) & (F.octet_length(t) >= 6))
-    return F.when(F.size(own) > 0, F.substring(F.try_element_at(own, F.lit(-1)), F.lit(len(name) + 2), F.lit(2**31 - 1)))
+    """The last value of a tag such as ``ms:i`` that isn't empty, or null."""
+    ahead, all_tags = f"\t{name}:", F.concat(F.lit("\t"), tags)
+    last = F.substring_index(F.substring_index(all_tags, ahead, -1), "\t", 1)
+    # an empty value at the last place is rare: only then the tags are searched by a pattern
+    earlier = F.regexp_extract(all_tags, f"(?s)^.*{ahead}([^\t]+)", 1)
+    return F.when(F.contains(all_tags, F.lit(ahead)), F.when(last != "", last).otherwise(F.nullif(earlier, F.lit(""))))
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(alignments, rejected lines with a reason) of a frame with ``value``; other columns are kept."""
     more = [x for x in lines.columns if x != "value"]
     real = lines.filter((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
-    parts = real.withColumn("__f", F.split("value", "\t", 13))
+    # generated, not projected: a filter on the reason would be pushed below with the split in each of its terms
+    parts = real.select("*", F.explode(F.array(F.split("value", "\t", 13))).alias("__f"))
     names = schema.names(schema.PAF_COLUMNS)
     numbers = [n for n, kind in schema.PAF_COLUMNS if kind == "n"]
     field = {n: F.get("__f", F.lit(i)) for i, n in enumerate(names)}
-    # one lambda over the fields: a branch for each would be more code than a compiled stage may hold
-    fields = F.array(*[field[n] for n in numbers])
+    whole = F.struct(*[natural(field[n], 2**32 - 1 if n == "mapq" else 2**63 - 1).alias(n) for n in numbers])
+    read = parts.select("*", apart(F.size("__f")).alias("__size"), whole.alias("__whole")).select("*", F.explode(F.array("__whole")).alias("__n"))
     bad = (
-        F.when(F.size("__f") < 12, "fewer than 12 fields")
-        .when(~F.forall(fields, lambda x: natural(x).isNotNull()) | natural(field["mapq"], 2**32 - 1).isNull(), "a number of plain digits is missing or too large")
+        F.when(c("__size") < 12, "fewer than 12 fields")
+        .when(F.greatest(*[c(f"__n.{n}").isNull() for n in numbers]), "a number of plain digits is missing or too large")
         .when(~field["strand"].isin("+", "-", "*"), "strand is none of + - *")
     )
-    typed = parts.withColumn("reason", bad).select(
-        *more, "value", "reason", F.coalesce(F.get("__f", F.lit(12)), F.lit("")).alias("__tags"),
-        *[(natural(field[n], 2**32 - 1 if n == "mapq" else 2**63 - 1) if n in numbers else field[n]).alias(n) for n in names],
+    typed = read.select(
+        *more, "value", bad.alias("reason"), F.coalesce(F.get("__f", F.lit(12)), F.lit("")).alias("__tags"), *[(c(f"__n.{n}") if n in numbers else field[n]).alias(n) for n in names],
     )
-    mapped = (c("target_name") != "*") & (c("strand") != "*")
+    mapped = apart((c("target_name") != "*") & (c("strand") != "*"))
     score = lambda name: F.when(mapped, F.coalesce(tag_values(c("__tags"), name).try_cast("bigint"), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
     letter = lambda name: F.when(mapped, F.coalesce(F.left(tag_values(c("__tags"), name), F.lit(1)), F.lit("*"))).otherwise("*")
     good = typed.filter("reason is null").select(
