@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions import cigar as G
 from weft.operators import collapse
 from weft.operators import junctions as J
 from weft.plans import fixture, queries
@@ -34,7 +35,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary", "qjc_all_a", "qjc_unmatched_b", "paf_text_roundtrip"])
+@pytest.mark.parametrize("name", ["sam_to_paf", "readinfo_collapse", "alignment_counts", "tied_top_score", "read_id_set_check", "compare_summary", "qjc_all_a", "qjc_unmatched_b", "paf_text_roundtrip", "cigar_introns"])
 def test_same_as_sql(spark, tables, name):
     frame = queries.QUERIES[name](spark, tables)
     assert sorted(map(tuple, frame.collect()), key=str) == by_sql(tables, name)
@@ -91,3 +92,9 @@ def test_lines_are_split_once(spark, tables):
     """A filter on the reason doesn't split the line again for each of its terms."""
     text = plan(queries.QUERIES["paf_text_roundtrip"](spark, tables))
     assert text.count("split(value") == 1
+
+
+def test_cigar_introns_in_one_lambda(spark):
+    frame = spark.createDataFrame([("5S10M2I3D20N4=1X7N2M6S",), ("3M",), (None,), ("2M5N1",)], "a string").select(G.introns(F.col("a")).alias("x"))
+    assert "transform(" not in plan(frame)
+    assert [r.x and [tuple(i) for i in r.x] for r in frame.collect()] == [[(13, 33), (38, 45)], [], None, [(2, 7)]]

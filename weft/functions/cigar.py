@@ -60,13 +60,16 @@ def stats(cigar: Column) -> Column:
 def introns(cigar: Column) -> Column:
     """array<struct<start, end>>: skipped reference spans from the alignment's start; a malformed tail is left out."""
     sound = F.regexp_extract(cigar, "^(?:[0-9]+[^0-9])*", 0)
+    # only what moves along the reference, and in one lambda: lambdas are interpreted
+    moving = F.regexp_extract_all(sound, F.lit("[0-9]+[M=XDN]"), F.lit(0))
+    zero = F.lit(0).cast("bigint")
     start = F.struct(F.lit(0).cast("bigint").alias("r"), F.array().cast(SPANS).alias("found"))
 
-    def step(acc: Column, o: Column) -> Column:
-        end = acc["r"] + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["n"]).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(end.alias("r"), F.when(o["op"] == "N", F.array_append(acc["found"], F.struct(acc["r"].alias("start"), end.alias("end")))).otherwise(acc["found"]).alias("found"))
+    def step(acc: Column, t: Column) -> Column:
+        end = acc["r"] + F.coalesce(F.left(t, F.length(t) - 1).try_cast("bigint"), zero)
+        return F.struct(end.alias("r"), F.when(F.endswith(t, F.lit("N")), F.array_append(acc["found"], F.struct(acc["r"].alias("start"), end.alias("end")))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(operations(sound), start, step, lambda acc: acc["found"])
+    return F.when(F.contains(cigar, F.lit("N")), F.aggregate(moving, start, step, lambda acc: acc["found"])).when(cigar.isNotNull(), F.array().cast(SPANS))
 
 
 def without_clips(cigar: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.cs import apart
+
 READ_LENGTH = 1000
 #: what an alignment is made of, and what tells reads apart
 PARTS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_quantity"]
@@ -68,14 +70,20 @@ def made(rows: DataFrame, side: str) -> DataFrame:
     """``rows`` (parts, and more columns) that a set holds, with the columns of their alignments and ``line``."""
     kept = ", ".join(rows.columns)
     sql = alignments_sql(side, "{rows}").replace("rc, un\nfrom (select ", f"rc, un, {kept}\nfrom (select {kept}, ", 1)
-    return rows.sparkSession.sql(sql, rows=rows).withColumn("line", F.expr(LINE_SQL.replace("\t", "\\t")))
+    return _with_line(rows.sparkSession.sql(sql, rows=rows))
+
+
+def _with_line(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``line``, whose projection is compiled apart."""
+    line = LINE_SQL.replace("\t", "\\t").replace("cast(query_name as string)", "__name", 1)
+    return rows.withColumn("__name", apart(F.col("query_name"))).withColumn("line", F.expr(line)).drop("__name")
 
 
 def alignments(spark: SparkSession, sf_dir: str, side: str, parts: bool = False) -> DataFrame:
     """A set as a PAF source gives it: its columns, tags, and ``line``. ``parts``: with the lengths that it is made of."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    made = spark.sql(alignments_sql(side, "{lineitem}"), lineitem=lineitem).withColumn("line", F.expr(LINE_SQL.replace("\t", "\\t")))
-    return made if parts else made.drop("e1", "sb", "i1", "e2", "ins", "del", "i2", "e3", "rc", "un")
+    rows = _with_line(spark.sql(alignments_sql(side, "{lineitem}"), lineitem=lineitem))
+    return rows if parts else rows.drop("e1", "sb", "i1", "e2", "ins", "del", "i2", "e3", "rc", "un")
 
 
 def reads_sql(source: str) -> str:
